@@ -59,13 +59,14 @@ def lcs_lengths(a: list[str], b: list[str], block: int = 8192) -> np.ndarray:
         wx, wy = max(map(len, xs), default=0), max(map(len, ys), default=0)
         if wx == 0:
             continue
-        ax, ay = _codes(xs, wx), _codes(ys, wy)
+        span = 8 * -(-wx // 8)
+        ax, ay = _codes(xs, span), _codes(ys, wy)
         ax[ax == 0] = 0xFFFFFFFF
-        weights = _ONE << np.arange(wx, dtype=np.uint64)
         state = np.full(len(idx), ~np.uint64(0))
+        match = np.zeros((len(idx), 8), dtype=np.uint8)
         for j in range(wy):
-            match = ((ax == ay[:, j : j + 1]) * weights).sum(axis=1, dtype=np.uint64)
-            hit = state & match
+            match[:, : span // 8] = np.packbits(ax == ay[:, j : j + 1], axis=1, bitorder="little")
+            hit = state & match.view(np.uint64)[:, 0]
             state = (state + hit) | (state - hit)
         lens = np.array([len(x) for x in xs], dtype=np.uint64)
         keep = np.where(lens >= 64, ~np.uint64(0), (_ONE << np.minimum(lens, np.uint64(63))) - _ONE)
@@ -112,31 +113,90 @@ def _pieces(phrase: str, cutoff: float) -> list[tuple[int, str]]:
     return [(bounds[k], phrase[bounds[k] : bounds[k + 1]]) for k in range(n)]
 
 
-def best_window(phrase: str, text: str, cutoff: float) -> tuple[float, int, int] | None:
-    """Best window of `text` (no longer than the phrase) against the phrase, when it reaches the cutoff.
-
-    Only windows around a surviving piece are scored, so long texts stay cheap.
-    """
-    m = len(phrase)
-    if not phrase or not text:
-        return None
-    at = text.find(phrase)
-    if at >= 0:
-        return 100.0, at, at + m
-    edits = int(2 * m * (1.0 - cutoff / 100.0) + 1e-9)
+def _edits(phrase: str, cutoff: float) -> int:
+    """Insertions and deletions a window no longer than the phrase may need and still reach the cutoff."""
+    return int(2 * len(phrase) * (1.0 - cutoff / 100.0) + 1e-9)
+
+
+class _Grams:
+    """Which phrases may be near a text: every edit spoils at most q of a phrase's q-grams, so enough must be left."""
+
+    def __init__(self, phrases: list[str], cutoff: float):
+        self.sizes: set[int] = set()
+        self.need: list[tuple[int, int]] = []
+        self.index: dict[str, list[tuple[int, int]]] = {}
+        for k, ph in enumerate(phrases):
+            bounds = {q: len(ph) - q + 1 - q * _edits(ph, cutoff) for q in (3, 2, 1) if len(ph) >= q}
+            q = next((q for q, v in bounds.items() if v > 2), next((q for q, v in sorted(bounds.items()) if v > 1), 1))
+            self.sizes.add(q)
+            self.need.append((q, max(1, bounds[q])))
+            counts: dict[str, int] = {}
+            for i in range(len(ph) - q + 1):
+                counts[ph[i : i + q]] = counts.get(ph[i : i + q], 0) + 1
+            for g, n in counts.items():
+                self.index.setdefault(g, []).append((k, n))
+
+    def near(self, text: str) -> list[int]:
+        seen: dict[int, int] = {}
+        for q in self.sizes:
+            for g in {text[i : i + q] for i in range(len(text) - q + 1)}:
+                for k, n in self.index.get(g, ()):
+                    if self.need[k][0] == q:
+                        seen[k] = seen.get(k, 0) + n
+        return [k for k, n in seen.items() if n >= self.need[k][1]]
+
+
+def _windows(phrase: str, text: str, cutoff: float) -> list[tuple[int, int]]:
+    """Stretches of a text around a surviving piece of the phrase, each as long as the phrase (less at the ends)."""
+    m, edits = len(phrase), _edits(phrase, cutoff)
     starts: set[int] = set()
     for offset, piece in _pieces(phrase, cutoff):
         p = text.find(piece)
         while p >= 0:
             starts.update(range(p - offset - edits, p - offset + edits + 1))
             p = text.find(piece, p + 1)
-    windows = sorted({(max(0, s), min(len(text), s + m)) for s in starts if s < len(text) and s + m > 0})
-    windows = [(s, e) for s, e in windows if e > s]
-    if not windows:
-        return None
-    score = ratios([phrase] * len(windows), [text[s:e] for s, e in windows])
-    k = int(np.argmax(score))
-    return (float(score[k]), *windows[k]) if score[k] >= cutoff else None
+    spans = {(max(0, s), min(len(text), s + m)) for s in starts if s < len(text) and s + m > 0}
+    return sorted((s, e) for s, e in spans if e > s)
+
+
+def best_windows(pairs: list[tuple[str, str]], cutoff: float) -> list[tuple[float, int, int] | None]:
+    """For each (phrase, text) the best window of the text, when it reaches the cutoff: (score, start, stop).
+
+    A text shorter than its phrase is compared whole. All windows of the batch are scored together.
+    """
+    out: list[tuple[float, int, int] | None] = [None] * len(pairs)
+    owner: list[tuple[int, int, int]] = []
+    left: list[str] = []
+    right: list[str] = []
+    todo = []
+    for i, (phrase, text) in enumerate(pairs):
+        at = text.find(phrase) if phrase else -1
+        if at >= 0:
+            out[i] = (100.0, at, at + len(phrase))
+        elif phrase and text:
+            todo.append(i)
+    # no window can share more with the phrase than the whole text does
+    short = [i for i in todo if len(pairs[i][1]) <= 4 * len(pairs[i][0])]
+    shared = lcs_lengths([pairs[i][0] for i in short], [pairs[i][1] for i in short])
+    hopeless = {i for i, n in zip(short, shared.tolist()) if n < cutoff * len(pairs[i][0]) / (200.0 - cutoff) - 1e-9}
+    for i in todo:
+        if i in hopeless:
+            continue
+        phrase, text = pairs[i]
+        spans = [(0, len(text))] if len(text) < len(phrase) else _windows(phrase, text, cutoff)
+        for s, e in spans:
+            owner.append((i, s, e))
+            left.append(phrase)
+            right.append(text[s:e])
+    if left:
+        for (i, s, e), score in zip(owner, ratios(left, right).tolist()):
+            if score >= cutoff and (out[i] is None or score > out[i][0]):
+                out[i] = (score, s, e)
+    return out
+
+
+def best_window(phrase: str, text: str, cutoff: float) -> tuple[float, int, int] | None:
+    return best_windows([(phrase, text)], cutoff)[0]
 
 
 @F.pandas_udf(T.DoubleType())
@@ -196,65 +256,57 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
 
 
-def best_entry(entries: list[str], cutoff: float, whole: bool = False) -> Callable[[Column], Column]:
-    """The entry nearest to a text (first wins a tie), over the cutoff, as struct(value, score).
+def _nearest_entries(texts: list[str], entries: list[str], cutoff: float) -> list[tuple[str, float] | None]:
+    distinct = list(dict.fromkeys(texts))
+    best: dict[str, tuple[str, float]] = {}
+    ti, ei, sc = pairs_over(distinct, entries, cutoff)
+    for i, e, s in zip(ti.tolist(), ei.tolist(), sc.tolist()):
+        if distinct[i] not in best or s > best[distinct[i]][1]:
+            best[distinct[i]] = (entries[e], s)
+    return [best.get(t) for t in texts]
 
-    With `whole` the text is matched as it is; otherwise each of its words is tried in turn and the
-    first word that reaches the cutoff decides. The list is fixed and short.
-    """
+
+def best_entry(entries: list[str], cutoff: float) -> Callable[[Column], Column]:
+    """The entry of a short fixed list nearest to a text (first wins a tie), over the cutoff: struct(value, score)."""
     known = list(entries)
 
     @F.pandas_udf("value string, score double")
     def match(texts: pd.Series) -> pd.DataFrame:
-        out_v: list = [None] * len(texts)
-        out_s: list = [None] * len(texts)
-        owners: list[int] = []
-        words: list[str] = []
-        for i, t in enumerate(texts):
-            if t:
-                parts = [t] if whole else t.split(" ")
-                owners.extend([i] * len(parts))
-                words.extend(parts)
-        if words:
-            ti, ei, sc = pairs_over(words, known, cutoff)
-            best: dict[int, tuple] = {}
-            for w, e, s in zip(ti.tolist(), ei.tolist(), sc.tolist()):
-                if w not in best or s > best[w][0]:
-                    best[w] = (s, e)
-            for w in sorted(best):
-                i = owners[w]
-                if out_v[i] is None:
-                    out_s[i], out_v[i] = best[w][0], known[best[w][1]]
-        return pd.DataFrame({"value": out_v, "score": pd.Series(out_s, dtype="float64")})
+        found = _nearest_entries([t or "" for t in texts], known, cutoff)
+        return pd.DataFrame(
+            {"value": [f[0] if f else None for f in found], "score": pd.Series([f[1] if f else None for f in found], dtype="float64")}
+        )
+
+    return match
+
+
+def best_entry_per_word(entries: list[str], cutoff: float, min_len: int = 3) -> Callable[[Column], Column]:
+    """For each word of at least min_len letters the nearest entry over the cutoff, or NULL; order kept."""
+    known = list(entries)
+
+    @F.pandas_udf("array<string>")
+    def match(texts: pd.Series) -> pd.Series:
+        words = [[w for w in (t or "").split(" ") if len(w) >= min_len] for t in texts]
+        flat = iter(_nearest_entries([w for ws in words for w in ws], known, cutoff))
+        return pd.Series([[f[0] if f else None for f in (next(flat) for _ in ws)] for ws in words])
 
     return match
 
 
 def phrase_windows(phrases: list[str], cutoff: float) -> Callable[[Column], Column]:
-    """Fixed phrases found in a text: array of (phrase_id, score). Short texts are compared whole."""
-    known = list(phrases)
+    """Fixed phrases found in a text: array of (phrase_id, score). Texts under half a phrase's length are skipped."""
+    known, grams = list(phrases), _Grams(phrases, cutoff)
 
     @F.pandas_udf("array<struct<phrase_id:int,score:double>>")
     def find(texts: pd.Series) -> pd.Series:
         lines = [t or "" for t in texts]
-        hits: list[list] = [[] for _ in lines]
-        cache: dict[str, list] = {}
-        for i, line in enumerate(lines):
-            if line not in cache:
-                found = []
-                for k, ph in enumerate(known):
-                    if len(line) < len(ph):
-                        if len(line) >= len(ph) * 0.5:
-                            s = float(ratios([ph], [line])[0]) if any(p in line for _, p in _pieces(ph, cutoff)) else 0.0
-                            if s >= cutoff:
-                                found.append({"phrase_id": k, "score": s})
-                        continue
-                    w = best_window(ph, line, cutoff)
-                    if w:
-                        found.append({"phrase_id": k, "score": w[0]})
-                cache[line] = found
-            hits[i] = cache[line]
-        return pd.Series(hits)
+        distinct = list(dict.fromkeys(lines))
+        tries = [(i, k) for i, line in enumerate(distinct) for k in grams.near(line) if len(line) >= len(known[k]) * 0.5]
+        found: dict[str, list] = {}
+        for (i, k), hit in zip(tries, best_windows([(known[k], distinct[i]) for i, k in tries], cutoff)):
+            if hit:
+                found.setdefault(distinct[i], []).append({"phrase_id": k, "score": hit[0]})
+        return pd.Series([found.get(line, []) for line in lines])
 
     return find
 
@@ -267,19 +319,20 @@ def phrase_prefilter(phrases: list[str], cutoff: float) -> str:
     return "|".join(sorted(re.escape(p) for p in pieces))
 
 
-def phrase_span(phrase: str, cutoff: float) -> Callable[[Column], Column]:
-    """Where a phrase sits best in a text: struct(score, start, stop), NULL below the cutoff."""
+def phrase_spans(phrases: list[str], cutoffs: list[float]) -> Callable[[Column], Column]:
+    """Where each fixed phrase sits best in a text: array, phrase by phrase, of struct(score, start, stop) or NULL."""
+    jobs = [(p, c, _Grams([p], c)) for p, c in zip(phrases, cutoffs)]
 
-    @F.pandas_udf("score double, start int, stop int")
-    def locate(texts: pd.Series) -> pd.DataFrame:
-        found = [best_window(phrase, t, cutoff) if t else None for t in texts]
-        return pd.DataFrame(
-            {
-                "score": pd.array([f[0] if f else None for f in found], dtype="Float64"),
-                "start": pd.array([f[1] if f else None for f in found], dtype="Int32"),
-                "stop": pd.array([f[2] if f else None for f in found], dtype="Int32"),
-            }
-        )
+    @F.pandas_udf("array<struct<score:double,start:int,stop:int>>")
+    def locate(texts: pd.Series) -> pd.Series:
+        lines = [t or "" for t in texts]
+        out: list[list] = [[None] * len(jobs) for _ in lines]
+        for j, (p, c, grams) in enumerate(jobs):
+            near = [i for i, line in enumerate(lines) if grams.near(line)]
+            for i, hit in zip(near, best_windows([(p, lines[i]) for i in near], c)):
+                if hit:
+                    out[i][j] = {"score": hit[0], "start": hit[1], "stop": hit[2]}
+        return pd.Series(out)
 
     return locate
 

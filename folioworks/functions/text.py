@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioworks import vocab
-from folioworks.functions.similarity import best_entry
+from folioworks.functions.similarity import best_entry, best_entry_per_word
 
 
 def blank(c: Column) -> Column:
@@ -128,9 +128,9 @@ def parse_year(c: Column) -> Column:
 
 def parse_month(c: Column) -> Column:
     """Month of the first token that names one: exact, glued to a word, abbreviated, then near-spelt."""
-    tokens = F.regexp_extract_all(F.upper(collapse_ws(c)), F.lit("([A-Z]{3,})"), 1)
+    letters = F.trim(F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), "[^A-Z]+", " "))
+    tokens = F.filter(F.split(letters, " "), lambda w: F.length(w) >= 3)
     months = F.array(*[F.lit(m) for m in vocab.MONTHS])
-    near = best_entry(vocab.MONTHS, 85)
 
     def spelled(tok: Column) -> Column:
         glued_long = F.filter(months, lambda m: (F.length(m) >= 4) & F.endswith(tok, m))
@@ -145,15 +145,9 @@ def parse_month(c: Column) -> Column:
             F.try_element_at(abbreviated, F.lit(1)),
         )
 
-    # the first token with a plain reading decides unless an earlier token is a near spelling
-    plain = F.transform(tokens, spelled)
-    first_plain = F.coalesce(
-        F.try_element_at(F.filter(F.transform(plain, lambda m, i: F.when(m.isNotNull(), i)), lambda i: i.isNotNull()), F.lit(1)),
-        F.size(tokens),
-    )
-    earlier = F.when(first_plain > 0, F.concat_ws(" ", F.slice(tokens, F.lit(1), first_plain)))
-    fuzzy = near(earlier)["value"]
-    return F.coalesce(fuzzy, F.try_element_at(F.filter(plain, lambda m: m.isNotNull()), F.lit(1)), F.lit(""))
+    near = best_entry_per_word(vocab.MONTHS, 85)(letters)
+    reading = F.zip_with(F.transform(tokens, spelled), near, lambda plain, close: F.coalesce(plain, close))
+    return F.coalesce(F.try_element_at(F.filter(reading, lambda m: m.isNotNull()), F.lit(1)), F.lit(""))
 
 
 def categorical_note(c: Column, entries: list[str], cutoff: float = 90) -> Column:
@@ -165,8 +159,7 @@ def categorical_note(c: Column, entries: list[str], cutoff: float = 90) -> Colum
         F.filter(known, lambda v: F.replace(v, F.lit(" "), F.lit("")) == compact), F.lit(1)
     )
     exact = F.array_contains(known, s)
-    open_ = F.when((s != "") & ~exact & spacing.isNull(), s)
-    near = best_entry(entries, cutoff, whole=True)(open_)
+    near = best_entry(entries, cutoff)(F.when(~exact, s))
     value = (
         F.when(s == "", "")
         .when(exact, s)

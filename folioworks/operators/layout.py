@@ -156,7 +156,8 @@ def line_pairs(lines: DataFrame, stop_at_pages: bool = False) -> DataFrame:
     """Each line with the next one of the document; a pair may cross a page border unless told not to."""
     keys = PAGE if stop_at_pages else ["file"]
     w = Window.partitionBy(*keys).orderBy("page", "line_id")
-    return lines.withColumn("next", F.lead("text").over(w)).where("next is not null").select("file", "page", "line_id", F.concat_ws(" ", "text", "next").alias("text"))
+    pairs = lines.withColumn("next", F.lead("text").over(w)).withColumn("_to", F.lead("page").over(w)).where("next is not null")
+    return pairs.select("file", "page", "line_id", F.concat_ws(" ", "text", "next").alias("text"), (F.col("_to") != F.col("page")).alias("crosses"))
 
 
 def overlap_windows(tokens: DataFrame, key: str, n: str, body: int, stride: int) -> DataFrame:

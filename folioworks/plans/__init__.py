@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import ModuleType
 
-_MODULES = ("records",)
+_MODULES = ("records", "documents")
 
 
 def load_all() -> ModuleType:

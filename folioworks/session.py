@@ -53,3 +53,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize to the reliable checkpoint folder, so iterative plans stay short and survive lost executors."""
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows evenly over the shuffle partitions before costly scoring, so one crowded task cannot hold it up."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
