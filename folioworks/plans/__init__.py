@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import ModuleType
 
-_MODULES = ("records", "documents")
+_MODULES = ("records", "documents", "sequences", "entities")
 
 
 def load_all() -> ModuleType:
