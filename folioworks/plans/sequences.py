@@ -194,7 +194,11 @@ def greedy_match(spark: SparkSession, root: str) -> DataFrame:
     a = l.withColumn("i", place)
     b = a.select("l_orderkey", F.col("i").alias("j"), F.col("l_suppkey").alias("s2"), (F.col("l_quantity") + F.when(F.col("i") % 3 == 0, 1).otherwise(0)).alias("q2"))
     score = 60 + F.when(F.col("l_suppkey") == F.col("s2"), 30).otherwise(0) + F.when(F.col("l_quantity") == F.col("q2"), 10).otherwise(0)
-    edges = a.join(b, "l_orderkey").select("l_orderkey", "i", "j", score.cast("double").alias("score")).where("score > 60")
+    keep = ["l_orderkey", "i", "j", score.cast("double").alias("score")]
+    # only lines that share a supplier or a quantity meet: two equality joins instead of all pairs of an order
+    by_supplier = a.join(b, (a.l_orderkey == b.l_orderkey) & (a.l_suppkey == b.s2)).drop(b.l_orderkey).select(*keep)
+    by_quantity = a.join(b, (a.l_orderkey == b.l_orderkey) & (a.l_quantity == b.q2)).drop(b.l_orderkey).select(*keep)
+    edges = by_supplier.union(by_quantity).distinct()
     return matching.greedy_match(edges, ["l_orderkey"], "i", "j", "score")
 
 
