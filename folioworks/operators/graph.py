@@ -11,8 +11,8 @@ from folioworks.session import cut_lineage
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", nodes: DataFrame | None = None) -> DataFrame:
     """(node, component) where the component is named by its smallest node.
 
-    Every round each vertex hooks onto its smallest neighbour, hooks are followed twice, and the edges are
-    rewritten onto the hooked vertices. Edges inside one vertex vanish, so the edge set shrinks to nothing.
+    Every round each vertex hooks onto its smallest neighbour, hooks are followed to their ends, and the edges are
+    rewritten onto those ends. Edges inside one vertex vanish, so the edge set shrinks to nothing.
     Each round is cut to the checkpoint folder.
     """
     links = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
@@ -23,10 +23,15 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", nodes
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hook = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         hook = cut_lineage(hook)
-        for _ in range(2):
-            nxt = hook.select(F.col("u").alias("m"), F.col("m").alias("m2"))
-            hook = hook.join(nxt, "m", "left").select("u", F.coalesce("m2", "m").alias("m"))
-        hook = cut_lineage(hook)
+        while True:  # follow the hooks to their ends; every pass doubles the distance covered
+            step = hook
+            for _ in range(2):
+                nxt = step.select(F.col("u").alias("m"), F.col("m").alias("m2"))
+                step = step.join(nxt, "m", "left").select("u", F.coalesce("m2", "m").alias("m"), (F.col("m2") != F.col("m")).alias("_moved"))
+            step = cut_lineage(step)
+            hook = step.select("u", "m")
+            if step.where("_moved").isEmpty():
+                break
         left = hook.select("u", F.col("m").alias("mu"))
         right = hook.select(F.col("u").alias("v"), F.col("m").alias("mv"))
         moved = links.join(left, "u", "left").join(right, "v", "left").select(
