@@ -10,10 +10,12 @@ from folioworks import schemas
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, bad: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad lines). Blank lines are skipped by the reader."""
+    """(good rows, bad lines); blank lines are skipped."""
     wide = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
-    raw = spark.read.schema(wide).option("columnNameOfCorruptRecord", bad).option("mode", "PERMISSIVE").json(path)
-    return raw.where(F.col(bad).isNull()).drop(bad), raw.where(F.col(bad).isNotNull()).select(bad)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    row = F.from_json("value", wide, {"columnNameOfCorruptRecord": bad, "mode": "PERMISSIVE"})
+    parsed = lines.select(row.alias("_r")).select("_r.*")
+    return parsed.where(F.col(bad).isNull()).drop(bad), parsed.where(F.col(bad).isNotNull()).select(bad)
 
 
 def write_counted(df: DataFrame, path: str, fmt: str = "json", mode: str = "error", by: list[str] | None = None) -> int:
