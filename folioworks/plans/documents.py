@@ -179,3 +179,64 @@ def extract_certificates(spark: SparkSession, root: str) -> DataFrame:
     flat = _extracted(spark, root)["flat"]
     return flat.select("file", "document_type", "student_name", "father_name", "mother_name", "hall_ticket_number", "year_of_pass", "month_of_pass",
                        "medium", "result", "total_marks", "maximum_marks", "percentage", F.size("subjects").alias("n_subjects"))
+
+
+@query(
+    "truth_rule_issues",
+    f"""WITH {TRUTH_SQL}
+    SELECT file, 'total_marks' AS field, 'subject_sum_mismatch' AS "check", 'error' AS severity FROM c WHERE k % 10 = 0
+    UNION ALL SELECT file, 'year_of_pass', 'implausible_year', 'error' FROM c WHERE k % 8 = 0 UNION ALL SELECT file, 'medium', 'nonstandard_medium', 'warning' FROM c WHERE k % 9 = 0
+    UNION ALL SELECT file, 'cgpa', 'implausible_cgpa', 'error' FROM c WHERE k % 12 = 0 UNION ALL SELECT file, 'mother_name', 'missing_value', 'info' FROM c WHERE k % 7 = 0
+    UNION ALL SELECT file, 'result', 'nonstandard_result', 'info' FROM c WHERE k % 6 = 1 UNION ALL SELECT file, 'subjects', 'duplicate_subject_row', 'warning' FROM c WHERE k % 14 = 3
+    UNION ALL SELECT file, 'subjects[0].marks', 'marks_exceed_max', 'error' FROM c WHERE k % 15 = 4""",
+)
+def truth_rule_issues(spark: SparkSession, root: str) -> DataFrame:
+    """Record, subject and total rules over the truth of every certificate, with known faults put in."""
+    from folioworks.operators.truth import check_truth
+
+    k = F.col("custkey")
+    rows = derived.certificate_orders(spark, root)
+    one = lambda paper, marks: F.struct("subject_name", F.lit(paper).alias("paper"), marks.alias("marks"), F.lit(100).alias("maximum_marks"))
+    s = rows.groupBy("file").agg(F.flatten(F.collect_list(F.array(one("I", F.col("first")), one("II", F.col("second"))))).alias("subjects"))
+    t = derived.certificate_truth(spark, root).join(s, "file")
+    fault = F.transform(
+        "subjects",
+        lambda r, i: F.struct(r["subject_name"].alias("subject_name"), r["paper"].alias("paper"), r["marks"].alias("marks"),
+                              F.when((i == 0) & (k % 15 == 4), r["marks"] - 1).otherwise(r["maximum_marks"]).alias("maximum_marks")),
+    )
+    # a repeated row carries no marks of its own, so the sum stays right
+    again = F.transform(F.slice("subjects", 1, 1), lambda r: F.struct(r["subject_name"].alias("subject_name"), r["paper"].alias("paper"), F.lit(0).alias("marks"), F.lit(100).alias("maximum_marks")))
+    empty = F.lit(None)
+    t = t.withColumn("subjects", F.when(k % 14 == 3, F.concat(fault, again)).otherwise(fault))
+    t = t.select(
+        "file", F.lit(vocab.TARGET_DOCUMENT_TYPE).alias("document_type"), F.lit("Telangana").alias("state"), F.lit("B").alias("board"), "student_name", "father_name",
+        F.when(k % 7 == 0, "").otherwise(F.col("mother_name")).alias("mother_name"), "hall_ticket_number", F.when(k % 8 == 0, 1975).otherwise(F.col("year_of_pass")).alias("year_of_pass"), "month_of_pass",
+        F.lit("").alias("course"), F.lit("").alias("group"), F.when(k % 9 == 0, "KLINGON").otherwise(F.col("medium")).alias("medium"), "subjects",
+        (F.col("total_marks") + F.when(k % 10 == 0, 1).otherwise(0)).alias("total_marks"), empty.cast("int").alias("maximum_marks"), empty.cast("double").alias("percentage"),
+        F.when(k % 6 == 1, F.concat("result", F.lit("."))).otherwise(F.col("result")).alias("result"), F.when(k % 12 == 0, 11.0).alias("cgpa"),
+    )
+    return check_truth(t).select("file", "field", "check", "severity")
+
+
+@query(
+    "review_routing",
+    """WITH l AS (SELECT c_custkey AS k, greatest(CASE WHEN c_custkey % 13 = 0 THEN 2 WHEN c_custkey % 100 >= 90 THEN 0 WHEN c_custkey % 100 >= 60 THEN 1 ELSE 2 END, CASE WHEN c_custkey % 11 = 0 THEN 2 ELSE 0 END) AS n,
+      greatest(CASE WHEN c_custkey % 7 = 0 OR c_custkey % 5 = 0 THEN 1 ELSE 0 END, CASE WHEN c_custkey % 9 = 0 THEN 1 ELSE 0 END) AS s FROM customer)
+    SELECT CAST(k AS VARCHAR) AS file, list_extract(['auto', 'review_recommended', 'manual_required'], 1 + greatest(n, s)) AS status, CAST((n > 0)::INT + (s > 0)::INT AS BIGINT) AS n_to_review FROM l""",
+)
+def review_routing(spark: SparkSession, root: str) -> DataFrame:
+    """Two fields per customer with confidences, blanks and issues, routed per field and per document."""
+    from folioworks.operators import review
+
+    k = F.col("c_custkey")
+    c = table(spark, root, "customer").select(k.cast("string").alias("file"), "c_custkey", "c_name")
+    none = F.lit(None).cast("double")
+    pairs = F.array(
+        F.struct(F.lit("student_name").alias("field"), F.when(k % 13 == 0, "").otherwise(F.col("c_name")).alias("value"), ((k % 100) / 100).alias("confidence")),
+        F.struct(F.lit("state").alias("field"), F.when(k % 7 == 0, "").otherwise("Telangana").alias("value"), F.when(k % 5 == 0, none).otherwise(0.95).alias("confidence")),
+    )
+    values = c.select("file", F.explode(pairs).alias("p")).select("file", "p.*")
+    issues = c.where(k % 11 == 0).select("file", F.lit("student_name").alias("field"), F.lit("error").alias("severity")).unionByName(
+        c.where(k % 9 == 0).select("file", F.lit("state").alias("field"), F.lit("warning").alias("severity"))
+    )
+    return review.route_documents(review.route_fields(values, issues))

@@ -67,7 +67,8 @@ def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def dataset_fingerprint(truth: DataFrame, split: DataFrame, version: str, seed: int) -> DataFrame:
-    t, s = fingerprint(truth), fingerprint(split)
-    return t.select(F.col("n_rows").alias("truth_rows"), F.col("hash").alias("truth_hash")).join(
-        F.broadcast(s.select(F.col("n_rows").alias("split_rows"), F.col("hash").alias("split_hash")))  # one row each
-    ).withColumn("dataset_version", F.lit(version)).withColumn("split_seed", F.lit(seed))
+    held = fingerprint(split).first()  # one row
+    return fingerprint(truth).select(
+        F.col("n_rows").alias("truth_rows"), F.col("hash").alias("truth_hash"), F.lit(held["n_rows"]).alias("split_rows"), F.lit(held["hash"]).alias("split_hash"),
+        F.lit(version).alias("dataset_version"), F.lit(seed).alias("split_seed"),
+    )
