@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm import boilerplate, bpe, packing, shards
+from folioworks.llm import boilerplate, bpe, media, packing, quality, shards, toxicity, warc
 from folioworks.llm.registry import query
 from folioworks.session import table
 
@@ -15,6 +15,21 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 SHARDS = 24
 
 
+@query("op1_toxicity")
+def toxic_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Every document's toxicity, learnt from the labels that are not held out."""
+    docs = table(spark, root, "documents")
+    out = toxicity.score(docs, toxicity.learn(docs, table(spark, root, "labels")), ["doc_id"])
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_signs")
+
+
+@query("op2_quality")
+def quality_votes(spark: SparkSession, root: str) -> DataFrame:
+    """Every document's counts, the rules' posterior and whether it is kept."""
+    out = quality.judge(table(spark, root, "documents"), ["doc_id"])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 9).alias("p_good"))
+
+
 @query("op3_byte_bpe")
 def byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     """Ids of every document and the bytes they decode to."""
@@ -24,6 +39,13 @@ def byte_bpe(spark: SparkSession, root: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+@query("op4_archive")
+def web_archive(spark: SparkSession, root: str) -> DataFrame:
+    """Every page's record as it is read back from the archive's files."""
+    path = warc.archive(table(spark, root, "pages"))
+    return warc.read_files(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query(
     "op7_line_dedup",
     f"""WITH d AS (SELECT doc_id, source, text, n_chars, lang FROM documents),
@@ -47,6 +69,19 @@ def line_dedup(spark: SparkSession, root: str) -> DataFrame:
     return boilerplate.drop_boilerplate(table(spark, root, "documents"))
 
 
+@query("op8_media")
+def media_columns(spark: SparkSession, root: str) -> DataFrame:
+    """Every document stored as frames in a media container, read back, with what its sample tables say."""
+    stored = media.write_frames(table(spark, root, "documents"), ["doc_id"]).select("doc_id", "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    out = media.read_frames(stored, ["doc_id", "n_bytes", "media_bytes", "media_sha256"], payload=True)
+    keys = F.array_join(F.transform("keyframes", lambda k: F.concat_ws("+", k["offset"], k["length"])), ",")
+    feature = F.format_string("codec=%s;size=%dx%d;duration=%d/%d;samples=%d;keyframes=%d;ranges=%s", "codec", "width", "height", "duration", "timescale", "n_samples", F.size("keyframes"), F.sha2(keys, 256))
+    return out.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"),
+    )
+
+
 @query("op9_shards")
 def shard_records(spark: SparkSession, root: str) -> DataFrame:
     """Every document's shard of 24 and its place there, by slots whose map was edited until the shards' bytes were near equal."""
