@@ -5,9 +5,10 @@ a sign may stand for one of several letters, a run of a letter for one or two of
 for nothing. A character trigram model, counted over all documents, decides by Viterbi search which reading was meant. The
 readings are scored together with the text as it stands.
 
-The score comes from words and word beginnings that labelled documents show to be toxic. They are chosen one after another,
-each the one that best separates toxic from clean among the documents no earlier one explains, so that words that merely
-stand next to a toxic word, or in copies of one document, are not taken. Learning reads at most SAMPLE labelled documents a
+The score comes from words and word beginnings that labelled documents show to be toxic. First they are chosen one after
+another, each the one that best separates toxic from clean among the documents no earlier one explains; then all others are
+added whose own evidence is as strong and who stand in many different places. So words that merely occur in copies of one
+toxic document are not taken; near copies are also counted once. Learning reads at most SAMPLE labelled documents a
 class, those of smallest hash; counts for the character model cover all documents; scoring reads every whole text.
 
 Null and empty texts get the score of a text without any sign of toxicity. Labels that are null or belong to no document are
@@ -35,6 +36,10 @@ SAMPLE = 10_000
 #: Signs of toxicity that are weighed against each other, and how many may be chosen, at most.
 CANDIDATES, CHOSEN = 5_000, 500
 BEGINNINGS = (4, 5, 6, 7)
+#: A sign is toxic only if this part of the documents that hold it is.
+SURE = 0.7
+#: And only if it stands in different places in this part of them.
+VARIED = 0.8
 THRESHOLD = 0.3
 
 #: Letters the character model tells apart, besides "no letter" (0) and "another letter" (the last). Fixed values.
@@ -225,7 +230,9 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for k in (1, 0)]
     some = common.written(parts[0].unionByName(parts[1]), "toxicity-sample")
-    return common.written(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic"), "toxicity-texts")
+    words = F.transform(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.xxhash64(w))  # near copies mostly agree in the least hash
+    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("_least", F.array_min(words))
+    return common.written(texts.dropDuplicates(["_least", "toxic"]).select("text", "toxic"), "toxicity-texts")
 
 
 def signs_of(low: str) -> set[str]:
@@ -274,14 +281,17 @@ class Finder:
             self.machine.make_automaton()
         self.any = bool(by_text)
 
-    def find(self, low: str) -> set[int]:
-        out: set[int] = set()
+    def find(self, low: str) -> dict[int, str]:
+        """Signs, each with what stands before it where it first occurs."""
+        out: dict[int, str] = {}
         for end, (n, which) in self.machine.iter(low) if self.any else ():
             start = end - n + 1
             if start and low[start - 1].isalpha():
                 continue
             closed = end + 1 == len(low) or not low[end + 1].isalpha()
-            out.update(i for i, whole in which if closed or not whole)
+            for i, whole in which:
+                if (closed or not whole) and i not in out:
+                    out[i] = low[max(0, start - 10) : start]
         return out
 
 
@@ -294,11 +304,11 @@ def _evidence(toxic: float, clean: float, rate: float) -> float:
     return toxic * math.log(p / rate) + (clean * math.log((1 - p) / (1 - rate)) if clean else 0.0)
 
 
-def choose(signs: list[str], held: list[set[int]], toxic: list[bool], weight: tuple[float, float], least: float) -> tuple[dict[str, float], float]:
+def choose(signs: list[str], held: list[dict[int, str]], toxic: list[bool], weight: tuple[float, float], least: float) -> tuple[dict[str, float], float]:
     """Signs with their probabilities, and the probability of a document without any.
 
-    `weight` is what a clean and a toxic document of the sample stand for. Choosing ends when no sign's evidence among the
-    unexplained documents reaches `least`.
+    `held` has each document's signs with what stands before them; `weight` is what a clean and a toxic document of the
+    sample stand for. No sign is chosen whose evidence is under `least`.
     """
     docs_of: list[list[int]] = [[] for _ in signs]
     for d, found in enumerate(held):
@@ -309,20 +319,34 @@ def choose(signs: list[str], held: list[set[int]], toxic: list[bool], weight: tu
         for d in ds:
             count[int(toxic[d]), i] += 1
     total, open_docs, chosen = count.copy(), np.ones(len(held), dtype=bool), {}
+    sure = (weight[1] * total[1] + 0.5) / (weight[1] * total[1] + weight[0] * total[0] + 1)
+    places = [len({held[d][i] for d in ds if toxic[d]}) for i, ds in enumerate(docs_of)]
+    varied = [i for i in range(len(signs)) if total[1, i] and places[i] >= VARIED * total[1, i]]
     left = [float(len(toxic) - sum(toxic)), float(sum(toxic))]
     while len(chosen) < CHOSEN and left[1] > 0:
         rate = weight[1] * left[1] / (weight[1] * left[1] + weight[0] * left[0])
-        scores = [(_evidence(count[1, i] * weight[1], count[0, i] * weight[0], rate) / max(weight[1], 1.0), len(signs[i]), signs[i], i) for i in range(len(signs)) if count[1, i] > 2]
+        scores = [(_evidence(count[1, i] * weight[1], count[0, i] * weight[0], rate) / max(weight[1], 1.0), len(signs[i]), signs[i], i) for i in varied if count[1, i] > 2]
         if not scores or max(scores)[0] < least:
             break
         i = max(scores)[3]
-        chosen[signs[i]] = float((weight[1] * total[1, i] + 0.5) / (weight[1] * total[1, i] + weight[0] * total[0, i] + 1))
+        chosen[signs[i]] = float(sure[i])
         for d in docs_of[i]:
             if open_docs[d]:
                 open_docs[d] = False
                 left[int(toxic[d])] -= 1
                 for k in held[d]:
                     count[int(toxic[d]), k] -= 1
+    rate = weight[1] * sum(toxic) / (weight[1] * sum(toxic) + weight[0] * (len(toxic) - sum(toxic)))
+    at = {s: i for i, s in enumerate(signs)}
+    own = [_evidence(total[1, i], total[0, i] * weight[0] / weight[1], rate) for i in range(len(signs))]
+    for s in sorted((signs[i] for i in varied), key=lambda s: (-own[at[s]], not s.endswith(" "), -len(s), s)):
+        if len(chosen) >= CHOSEN or any(s[:n] in chosen for n in range(1, len(s) + 1)):
+            continue
+        known = {d for c in chosen if c.startswith(s) for d in docs_of[at[c]]}
+        more = [d for d in docs_of[at[s]] if d not in known]  # what it finds beyond longer signs that begin with it
+        bad = [d for d in more if toxic[d]]
+        if len(bad) > 2 and _evidence(len(bad), (len(more) - len(bad)) * weight[0] / weight[1], rate) >= least:
+            chosen[s] = float(sure[at[s]])
     base = (weight[1] * left[1] + 0.5) / (weight[1] * left[1] + weight[0] * left[0] + 1)
     return chosen, min(base, 0.25)
 
@@ -341,38 +365,38 @@ def learn(docs: DataFrame, labels: DataFrame) -> Toxicity:
     least = math.log(2 * max(tested, 1))  # a sign that chance gives in one of two corpora
     n = F.col("toxic") * weight[1] + F.col("clean") * weight[0]
     p = F.col("toxic") * weight[1] / n
-    likely = counts.where((F.col("toxic") > 2) & (p > 0.5)).orderBy((F.col("toxic") * F.log(p / 0.1)).desc(), F.length("sign").desc(), "sign").limit(CANDIDATES)
+    likely = counts.where((F.col("toxic") > 2) & (p > SURE)).orderBy((F.col("toxic") * F.log(p / 0.1)).desc(), F.length("sign").desc(), "sign").limit(CANDIDATES)
     signs = [r.sign for r in likely.select("sign").collect()]
     reader_model, names = texts.sparkSession.sparkContext.broadcast(characters), signs
 
     def run(batches):
         reader, finder = Reader(reader_model.value), Finder(names)
         for b in batches:
-            found = [sorted(finder.find("\n".join(reader.read(t)))) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column(1).cast(pa.int64())], names=["found", "toxic"])
+            found = [finder.find("\n".join(reader.read(t))) for t in b.column(0).to_pylist()]
+            arrays = [pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*arrays, b.column(1).cast(pa.int64())], names=["found", "places", "toxic"])
 
-    rows = texts.select("text", "toxic").mapInArrow(run, "found array<int>, toxic long").groupBy("found", "toxic").agg(F.count("*").alias("n")).collect()
-    held = [set(r.found) for r in rows for _ in range(r.n)]
-    toxic = [r.toxic > 0 for r in rows for _ in range(r.n)]
+    rows = texts.select("text", "toxic").mapInArrow(run, "found array<int>, places array<string>, toxic long").collect()
+    held, toxic = [dict(zip(r.found, r.places)) for r in rows], [r.toxic > 0 for r in rows]
     chosen, base = choose(signs, held, toxic, weight, least)
     return Toxicity(characters, chosen, base)
 
 
 def score(docs: DataFrame, model: Toxicity, keep: list[str], text: str = "text") -> DataFrame:
     """`keep`, score (probability of a toxic label) and n_signs of every whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.characters, model.signs, model.base))
 
     def run(texts):
-        m = sent.value
-        reader, names = Reader(m.characters), list(m.signs)
-        finder, clean = Finder(names), [math.log1p(-min(m.signs[s], 0.999999)) for s in names]
+        characters, signs, base = sent.value
+        reader, names = Reader(characters), list(signs)
+        finder, clean = Finder(names), [math.log1p(-min(signs[s], 0.999999)) for s in names]
         scores, numbers = [], []
         for t in texts:
             low, read = reader.read(t)
             found = finder.find(low)
             if read:
-                found |= finder.find(read)
-            scores.append(1 - math.exp(sum(clean[i] for i in found)) if found else m.base)
+                found = {**finder.find(read), **found}
+            scores.append(1 - math.exp(sum(clean[i] for i in found)) if found else base)
             numbers.append(len(found))
         return [pa.array(scores, pa.float64()), pa.array(numbers, pa.int64())]
 
