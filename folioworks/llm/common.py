@@ -19,7 +19,7 @@ from folioworks.shipping import ship_by_value
 #: Keys that hold more than 1/HOT_SHARE of the rows are hot. There are never more than HOT_SHARE of them.
 HOT_SHARE = 1024
 #: Rows a Python task holds at a time.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm import boilerplate, bpe, media, packing, quality, shards, toxicity, warc
+from folioworks.llm import boilerplate, bpe, media, neardup, packing, quality, shards, toxicity, warc
 from folioworks.llm.registry import query
 from folioworks.session import table
 
@@ -46,6 +46,12 @@ def web_archive(spark: SparkSession, root: str) -> DataFrame:
     return warc.read_files(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op6_near_duplicates")
+def near_duplicates(spark: SparkSession, root: str) -> DataFrame:
+    """Every document's component of near duplicates by shingles of four words."""
+    return neardup.near_duplicates(table(spark, root, "documents"), neardup.Rule(words=4, percent=80))
+
+
 @query(
     "op7_line_dedup",
     f"""WITH d AS (SELECT doc_id, source, text, n_chars, lang FROM documents),
