@@ -98,8 +98,8 @@ class Signer:
         return keys.view(np.int64), packed.view(np.int64)
 
 
-def signed(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_key (digest of the set), bands and bits (both null without shingles) of every row, written."""
+def signed(docs: DataFrame, rule: Rule, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, `keep`, n_shingles, set_key (digest of the set), bands and bits (both null without shingles) of every row, written."""
 
     def run(texts):
         import xxhash
@@ -116,7 +116,7 @@ def signed(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
         return [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, many), pa.array(bits, many)]
 
     fields = [("n_shingles", "bigint"), ("set_key", "binary"), ("bands", "array<bigint>"), ("bits", "array<bigint>")]
-    return common.written(common.map_texts(docs, run, fields, ["doc_id"], text), "signed")
+    return common.written(common.map_texts(docs, run, fields, ["doc_id", *keep], text), "signed")
 
 
 def estimate(a: str = "bits", b: str = "other") -> Column:
@@ -255,9 +255,9 @@ def _across(here: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return near.select("u", "v", "cu", "cv", estimate().alias("estimate")).distinct()
 
 
-def near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links reach) and kept (it is the document's own) of every row."""
-    rows = signed(docs, rule, text)
+def near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, `keep`, n_shingles, component_id (smallest doc_id that links reach) and kept (it is the document's own) of every row."""
+    rows = signed(docs, rule, text, keep)
     some = rows.where("n_shingles > 0")
     sets = some.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     nodes = common.written(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -266,9 +266,18 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text") ->
     least = common.written(ends.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "components")
     linked = common.hot_join(ends.select("node", "component"), least, "component").select("node", "component_id", F.lit(True).alias("_linked"))
     named = nodes.join(linked, "node", "left").select("set_key", "n", F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    out = common.hot_join(some.select("doc_id", "n_shingles", "set_key"), common.written(named, "named"), "set_key").select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    given = ["doc_id", *keep, "n_shingles"]
+    out = common.hot_join(some.select(*given, "set_key"), common.written(named, "named"), "set_key").select(*given, "component_id")
+    alone = rows.where("n_shingles = 0").select(*given, F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def drop_near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:
+    """All columns of one document of each component, that of the smallest doc_id; of rows that repeat a document wholly, one."""
+    k1, k2 = common.text_key(F.col("doc_id"), F.col(text))
+    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
+    kept = near_duplicates(keyed, rule, text, ("_k1", "_k2")).where("kept").select("_k1", "_k2")
+    return keyed.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")
+
+
 ship_by_value(__name__)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm import boilerplate, bpe, media, neardup, packing, quality, shards, toxicity, warc
+from folioworks.llm import boilerplate, bpe, media, neardup, packing, pii, quality, shards, toxicity, warc
 from folioworks.llm.registry import query
 from folioworks.session import table
 
@@ -46,6 +46,14 @@ def web_archive(spark: SparkSession, root: str) -> DataFrame:
     return warc.read_files(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op5_personal_data")
+def personal_data(spark: SparkSession, root: str) -> DataFrame:
+    """Every document's personal data, by form and by learnt context."""
+    out = pii.find(table(spark, root, "documents"), ["doc_id"])
+    counts = [pii.count_of(k).alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", *counts, F.sha2(pii.spelt("base"), 256).alias("base_sha256"), pii.spelt("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_found"))
+
+
 @query("op6_near_duplicates")
 def near_duplicates(spark: SparkSession, root: str) -> DataFrame:
     """Every document's component of near duplicates by shingles of four words."""
