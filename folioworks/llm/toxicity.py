@@ -230,7 +230,7 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for k in (1, 0)]
     some = common.written(parts[0].unionByName(parts[1]), "toxicity-sample")
-    words = F.transform(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.xxhash64(w))  # near copies mostly agree in the least hash
+    words = F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.xxhash64(w))  # near copies mostly agree in the least hash
     texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("_least", F.array_min(words))
     return common.written(texts.dropDuplicates(["_least", "toxic"]).select("text", "toxic"), "toxicity-texts")
 
