@@ -26,8 +26,8 @@ LENGTH = 4096
 #: Documents that are packed together, on average.
 GROUP = 4096
 CLOSING_ID = 2
-#: Distinct runs, and words, a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 600_000
+#: Distinct runs and words a worker remembers; the memory is emptied when it is full.
+REMEMBERED = 1_000_000
 WORDS_AT_ONCE = 500
 
 PIECES = (
@@ -60,15 +60,30 @@ class WordEncoder:
         self.ends = np.zeros(len(read["model"]["vocab"]), dtype=bool)
         self.ends[[i for piece, i in read["model"]["vocab"].items() if piece.endswith(end)]] = True
         self.known: dict[str, bytes] = {"": b""}
-        self.word: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str]) -> None:
+        """Ids of words that the cut leaves whole."""
+        for k in range(0, len(words), WORDS_AT_ONCE):
+            some = words[k : k + WORDS_AT_ONCE]
+            ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some):
+                raise ValueError("a word does not end where its last piece ends")
+            raw, last = ids.tobytes(), 0
+            for w, stop in zip(some, (4 * stops).tolist()):
+                self.known[w] = raw[last:stop]
+                last = stop
 
     def _learn(self, runs: list[str]) -> None:
         """Ids of runs without spaces or line ends."""
-        known, word = self.known, self.word
+        known = self.known
         if any(s in x for x in (" ".join(runs),) for s in self.special):
             for run in [r for r in runs if any(s in r for s in self.special)]:
                 known[run] = np.array(self.whole.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
             runs = [r for r in runs if r not in known]
+        words = [r for r in runs if r.isascii() and r.isalpha() and r.islower()]  # already what the normaliser and the cut make of them
+        self._encode(words)
+        runs = [r for r in runs if r not in known]
         plain = [r for r in runs if r.isascii()]
         other = [r for r in runs if not r.isascii()]
         normal = "\n".join(plain).lower().split("\n") if plain else []
@@ -76,29 +91,18 @@ class WordEncoder:
         if len(spelt) != len(other):  # a run held white space other than blanks
             spelt = [self.whole.normalizer.normalize_str(r) for r in other]
         runs = plain + other
-        parts = self.cut("\n".join(normal + spelt) + "\n")
-        new = [w for w in set(parts) if w not in word and w != "\n"]
-        for k in range(0, len(new), WORDS_AT_ONCE):
-            some = new[k : k + WORDS_AT_ONCE]
-            ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(some):
-                raise ValueError("a word does not end where its last piece ends")
-            raw, last = ids.tobytes(), 0
-            for w, stop in zip(some, (4 * stops).tolist()):
-                word[w] = raw[last:stop]
-                last = stop
+        parts = self.cut("\n".join(normal + spelt) + "\n") if runs else []
+        self._encode([w for w in set(parts) if w not in known and w != "\n"])
         at, first = 0, 0
         for i, w in enumerate(parts):
             if w == "\n":
-                known[runs[at]] = word[parts[first]] if i == first + 1 else b"".join(map(word.__getitem__, parts[first:i]))
+                known[runs[at]] = known[parts[first]] if i == first + 1 else b"".join(map(known.__getitem__, parts[first:i]))
                 at, first = at + 1, i + 1
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
-        if len(self.known) > REMEMBERED or len(self.word) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self.known = {"": b""}
-            self.word = {}
         get = self.known.get
         runs = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         got = [list(map(get, rs)) for rs in runs]
