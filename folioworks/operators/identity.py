@@ -267,13 +267,25 @@ def labelled_values(lines: DataFrame, cutoff: float = 82.0) -> DataFrame:
     return plain.unionByName(block)
 
 
+def common_letters(text: Column, word: str) -> Column:
+    """Length of the longest common subsequence of a text and a short fixed word."""
+
+    def add(row: Column, letter: Column) -> Column:
+        out = [F.lit(0)]
+        for j, w in enumerate(word):
+            out.append(F.when(letter == w, row[j] + 1).otherwise(F.greatest(row[j + 1], out[-1])))
+        return F.array(*out)
+
+    letters = F.filter(F.split(text, ""), lambda x: x != "")
+    return F.aggregate(letters, F.array(*[F.lit(0)] * (len(word) + 1)), add, lambda row: row[len(word)])
+
+
 def clean_value(key: Column, text: Column) -> Column:
     """Value cleaning by field."""
     v = F.btrim(F.regexp_replace(text, r"(?U)\s+", " "), F.lit(" ,.:;-"))
     english = F.trim(F.regexp_replace(v, "^.*/", ""))
     nation = t.alnum_key(english)
-    # a misread of INDIAN within the cutoff differs by at most one substitution or two insertions
-    indian = nation.isin("IN", "IND", "INDIA") | (200.0 * (6 + F.length(nation) - F.levenshtein(nation, F.lit("INDIAN")) * 1.0) / (2 * (6 + F.length(nation))) >= 75)
+    indian = nation.isin("IN", "IND", "INDIA") | (200.0 * common_letters(nation, "INDIAN") / (6 + F.length(nation)) >= 75)
     word_zero = F.array_join(F.transform(F.split(v, " "), lambda w: F.when(w.rlike(r"^[^A-Z0-9]*[A-Z0]*[A-Z][A-Z0]*[^A-Z0-9]*$"), F.translate(w, "0", "O")).otherwise(w)), " ")
     pin = F.regexp_extract(word_zero, r"PIN\W*([0-9OSIB]{6})\b", 1)
     address = F.when(pin != "", F.regexp_replace(word_zero, r"PIN\W*[0-9OSIB]{6}\b", "PIN:@@")).otherwise(word_zero)

@@ -33,10 +33,10 @@ def _assign(rank: Column, bounds: list[tuple[str, int]]) -> Column:
 def group_split(docs: DataFrame, sizes: dict[str, int], seed: int = vocab.SPLIT_SEED, id_: str = "file", group: str = "group", stratum: str = "stratum") -> DataFrame:
     """(id, group, stratum, partition): sizes met exactly, groups whole, strata mixed, one answer per seed.
 
-    Groups of several documents go first, laid end to end in seeded order against the partitions' shares of
-    them; the few groups that would cross a border go to the partition with most room. Single documents then
-    fill what is left, taken by their place inside their stratum so every partition gets its mix. Only sizes
-    and border groups (fewer than the partitions) reach the driver.
+    Groups of several documents go first, the largest before smaller ones. How many groups of a size go to which partition
+    is settled on the table of sizes and their counts, which has few rows; the groups of one size are then numbered with
+    their strata in turn, in seeded order, and cut at those counts. Single documents then fill what is left, taken by their
+    place inside their stratum so every partition gets its mix.
     """
     if any(v <= 0 for v in sizes.values()):
         raise ValueError("every partition needs a positive size")
@@ -45,35 +45,23 @@ def group_split(docs: DataFrame, sizes: dict[str, int], seed: int = vocab.SPLIT_
         raise ValueError(f"split sizes add up to {sum(sizes.values())} but {total} documents are eligible")
     names = sorted(sizes, key=lambda k: -sizes[k])
     groups = docs.groupBy(group).agg(F.count("*").alias("_n"), F.min(stratum).alias("_s"))
-    many = groups.where("_n > 1")
+    many = cut_lineage(groups.where("_n > 1"))
+    room, cuts = dict(sizes), []
+    for r in many.groupBy("_n").agg(F.count("*").alias("groups")).orderBy(F.desc("_n")).collect():  # one row per size
+        taken = place_size(r["_n"], r["groups"], room, sizes)
+        upto = 0
+        for k in names:
+            cuts.append((r["_n"], k, upto, upto + taken[k]))
+            upto += taken[k]
     shuffled = F.xxhash64(F.lit(seed), F.col(group))
-    placed = cut_lineage(_running(many, [shuffled, F.col(group)], "_n", "_end"))
-    in_groups = placed.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    cuts, acc = [], 0.0
-    for k in names:
-        acc += sizes[k] * in_groups / total
-        cuts.append((k, acc))
-    cuts[-1] = (names[-1], float(in_groups))
-    start = F.col("_end") - F.col("_n")
-    home_of = lambda pos: _first_cut(pos, cuts)
-    placed = placed.withColumn("_a", home_of(start + F.lit(1e-9))).withColumn("_b", home_of(F.col("_end").cast("double")))
-    whole = placed.where("_a = _b")
-    room = dict(sizes)
-    for r in whole.groupBy("_a").agg(F.sum("_n").alias("n")).collect():  # one row per partition
-        room[r["_a"]] -= r["n"]
-    border: dict = {}
-    for r in placed.where("_a <> _b").orderBy(F.desc("_n"), group).collect():  # at most one per border
-        k = max(names, key=lambda p: room[p])
-        if room[k] < r["_n"]:
-            raise RuntimeError(f"cannot place a group of {r['_n']} documents")
-        border[r[group]] = k
-        room[k] -= r["_n"]
-    if min(room.values()) < 0:
-        raise RuntimeError("the groups do not fit the requested sizes")
-    home = F.col("_a")
-    for g, k in border.items():
-        home = F.when(F.col(group) == g, k).otherwise(home)
-    multi = placed.select(group, home.alias("partition"))
+    lane = F.concat_ws("|", "_n", F.coalesce("_s", F.lit("")))
+    turned = number_rows_within(many.withColumn("_lane", lane), "_lane", [shuffled, F.col(group)], "_turn")
+    ranked = number_rows_within(turned, "_n", [F.col("_turn"), F.col("_s"), F.col(group)], "_nth")
+    home = F.lit(None).cast("string")
+    for n, k, lo, hi in cuts:
+        if hi > lo:
+            home = F.when((F.col("_n") == n) & (F.col("_nth") > lo) & (F.col("_nth") <= hi), k).otherwise(home)
+    multi = ranked.select(group, home.alias("partition"))
 
     single = docs.join(groups.where("_n = 1").select(group), group, "left_semi")
     turn = number_rows_within(single, stratum, [F.xxhash64(F.lit(seed), F.col(id_)), F.col(id_)], "_turn")
@@ -98,25 +86,22 @@ def number_seat(rank: Column, n: int) -> Column:
     return (rank * F.lit(0.6180339887498949)) % 1.0
 
 
-def _first_cut(pos: Column, cuts: list[tuple[str, float]]) -> Column:
-    out = F.lit(cuts[-1][0])
-    for name, upto in reversed(cuts[:-1]):
-        out = F.when(pos <= upto + 1e-9, name).otherwise(out)
-    return out
-
-
-def _running(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
-    """Running total of `value` over a total order, computed per range partition plus the partitions before it."""
-    from pyspark.sql import Window
+def place_size(size: int, groups: int, room: dict[str, int], wanted: dict[str, int]) -> dict[str, int]:
+    """How many of the groups of one size go to each partition; `room` is lowered.
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    staged = df.repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id())
-    staged = cut_lineage(staged)
-    local = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    offs = staged.groupBy("_pid").agg(F.sum(value).alias("_t")).withColumn(
-        "_before", F.sum("_t").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_t")
-    ).select("_pid", "_before")
-    return staged.withColumn(name, F.sum(value).over(local)).join(F.broadcast(offs), "_pid").withColumn(name, F.col(name) + F.col("_before")).drop("_pid", "_before")
+    Each partition gets its share by the room it has, then single groups go where most room is left.
+    """
+    free = sum(room.values())
+    out = {k: min(room[k] // size, groups * room[k] // max(free, 1)) for k in room}
+    for k, n in out.items():
+        room[k] -= n * size
+    for _ in range(groups - sum(out.values())):
+        k = max(room, key=lambda p: (room[p], wanted[p]))
+        if room[k] < size:
+            raise RuntimeError(f"cannot place a group of {size} documents")
+        out[k] += 1
+        room[k] -= size
+    return out
 
 
 def split_leaks(assigned: DataFrame, groups: DataFrame, id_: str = "file", group: str = "group") -> DataFrame:

@@ -56,6 +56,19 @@ _HOLDER = """h AS (SELECT c_custkey AS k, 'doc_' || CAST(c_custkey AS VARCHAR) A
     'Z' || lpad(CAST(c_custkey % 10000000 AS VARCHAR), 7, '0') AS number FROM customer)"""
 
 
+def _verhoeff_sql(column: str, n: int) -> str:
+    """Verhoeff's state of the first n digits with a 0 behind them, in SQL: one table look-up per digit, from the right."""
+    turn = "[" + ", ".join(str((j + k) % 5 + (5 if (j < 5) != (k < 5) else 0) if j < 5 else (j - k) % 5 + (5 if (j < 5) != (k < 5) else 0)) for j in range(10) for k in range(10)) + "]"
+    rows = [list(range(10))]
+    for _ in range(7):
+        rows.append([vocab.VERHOEFF_STEP[d] for d in rows[-1]])
+    state = "0"
+    for i in range(1, n + 1):
+        moved = f"[{', '.join(map(str, rows[i % 8]))}][1 + CAST(substr({column}, {n + 1 - i}, 1) AS INTEGER)]"
+        state = f"{turn}[1 + 10 * {state} + {moved}]"
+    return state
+
+
 @query(
     "check_digit_audit",
     f"""WITH {_HOLDER} SELECT file, number AS passport_number, surname, given AS given_names, CASE WHEN k % 5 <> 2 THEN strftime(born, '%Y-%m-%d') END AS date_of_birth, strftime(ends, '%Y-%m-%d') AS date_of_expiry,
@@ -78,8 +91,10 @@ def check_digit_summary(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "national_number_vote",
-    f"""WITH {_HOLDER} SELECT file, 'XXXX XXXX ' || substr(lpad(CAST(k * 7919 % 10000000000 AS VARCHAR), 10, '0'), 8, 3) AS masked_head, k % 4 <> 1 AS check_digit_ok,
-    CAST(CASE WHEN k % 4 = 3 THEN 1 ELSE 2 END AS BIGINT) AS votes FROM h""",
+    f"""WITH {_HOLDER}, n AS (SELECT file, k, '2' || lpad(CAST(k * 7919 % 10000000000 AS VARCHAR), 10, '0') AS f11 FROM h),
+    s AS (SELECT *, {_verhoeff_sql("f11", 11)} AS st FROM n), d AS (SELECT *, CASE WHEN st BETWEEN 1 AND 4 THEN 5 - st ELSE st END AS digit FROM s)
+    SELECT file, 'XXXX XXXX ' || substr(f11, 9, 3) || CAST(CASE WHEN k % 4 = 1 THEN (digit + 1) % 10 ELSE digit END AS VARCHAR) AS masked_number, k % 4 <> 1 AS check_digit_ok,
+    CAST(CASE WHEN k % 4 = 3 THEN 1 ELSE 2 END AS BIGINT) AS votes FROM d""",
 )
 def national_number_vote(spark: SparkSession, root: str) -> DataFrame:
     h = holders(spark, root)
@@ -91,7 +106,7 @@ def national_number_vote(spark: SparkSession, root: str) -> DataFrame:
     two = spaced(F.when(F.col("k") % 4 == 3, bad).when(F.col("k") % 4 == 1, bad).otherwise(F.col("d")))
     front = _lines(h, [(F.lit("GOVERNMENT OF INDIA"), 300, 50), (one, 400, 500), (F.lit("VID : 9123 4567 8901 2345"), 400, 560)])
     n = identity.national_numbers(front.unionByName(_lines(h, [(two, 300, 320)], 2)))
-    return n.select("file", F.substring("masked_number", 1, 13).alias("masked_head"), "check_digit_ok", "votes")
+    return n.select("file", "masked_number", "check_digit_ok", "votes")
 
 
 @query(
@@ -153,6 +168,17 @@ def travel_document_fields(spark: SparkSession, root: str) -> DataFrame:
     return out.where("value <> ''").select("file", "field", "value", "verified", F.col("flag").isNotNull().alias("flagged"))
 
 
+@query(
+    "nationality_values",
+    """SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'INDIAN' WHEN 1 THEN 'INDIAN' WHEN 2 THEN 'ITALIAN' WHEN 3 THEN 'CANADIAN' WHEN 4 THEN 'INDIAN' WHEN 5 THEN 'AUSTRALIAN' ELSE 'INDIAN' END AS nationality FROM customer""",
+)
+def nationality_values(spark: SparkSession, root: str) -> DataFrame:
+    """Printed nationalities: misreadings become INDIAN, other nationalities stay, however near their spelling is."""
+    k = F.col("c_custkey") % 7
+    raw = F.when(k == 0, "INDIAN").when(k == 1, "/INDIAM").when(k == 2, "ITALIAN").when(k == 3, "CANADIAN").when(k == 4, "IND").when(k == 5, "AUSTRALIAN").otherwise("INDAN")
+    return table(spark, root, "customer").select("c_custkey", identity.clean_value(F.lit("nationality"), raw).alias("nationality"))
+
+
 @query(
     "school_memo_flags",
     f"""WITH {_HOLDER} SELECT file, 'subjects.MA' AS field, 'grade A1 should carry 10 points' AS reason FROM h WHERE k % 6 = 5 UNION ALL SELECT file, 'cgpa', 'average of the grade points differs' FROM h WHERE k % 4 = 1""",

@@ -236,17 +236,16 @@ def override_merge(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "linked_record_conflicts",
-    """WITH g AS (SELECT md5(text) AS h, min(doc_id) AS a, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1),
-    p AS (SELECT a, doc_id AS b FROM documents JOIN g ON md5(text) = h WHERE doc_id <> a),
-    l AS (SELECT doc_id, lang, source FROM documents)
-    SELECT x.doc_id, 'source' AS field, 'error' AS severity, x.source AS truth_value, CAST(y.doc_id AS VARCHAR) || ' has ' || y.source AS detail
-    FROM p JOIN l x ON x.doc_id = a JOIN l y ON y.doc_id = b WHERE x.source <> y.source
-    UNION ALL SELECT x.doc_id, 'lang', 'error', x.lang, CAST(y.doc_id AS VARCHAR) || ' has ' || y.lang
-    FROM p JOIN l x ON x.doc_id = a JOIN l y ON y.doc_id = b WHERE x.lang <> y.lang""",
+    """WITH l AS (SELECT doc_id, md5(text) AS h, lang, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS source FROM documents WHERE text IS NOT NULL),
+    v AS (SELECT doc_id, h, 'source' AS field, source AS value FROM l UNION ALL SELECT doc_id, h, 'lang', lang FROM l),
+    f AS (SELECT h, field, min(doc_id) AS a, arg_min(value, doc_id) AS first FROM v WHERE value <> '' GROUP BY 1, 2)
+    SELECT a AS doc_id, v.field, 'error' AS severity, first AS truth_value, CAST(v.doc_id AS VARCHAR) || ' has ' || value AS detail
+    FROM v JOIN f ON v.h = f.h AND v.field = f.field WHERE value <> '' AND value <> first""",
 )
 def linked_record_conflicts(spark: SparkSession, root: str) -> DataFrame:
+    """Copies whose language or source differs; one record in three has no source, often the one that all links meet in."""
     pairs = exact_dup_groups(spark, root).withColumn("same_bytes", F.lit(True))
-    d = table(spark, root, "documents").select("doc_id", "lang", "source")
+    d = table(spark, root, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("source"))
     return truth.conflicts(pairs, d, ["lang", "source"], "doc_id").select("doc_id", "field", "severity", "truth_value", "detail")
 
 
@@ -348,7 +347,7 @@ def number_words(spark: SparkSession, root: str) -> DataFrame:
 @query(
     "categorical_map",
     """SELECT c_custkey, CASE c_custkey % 5 WHEN 4 THEN 'unknown value' ELSE c_mktsegment END AS value,
-       CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'spacing normalized' WHEN 2 THEN 'fuzzy-mapped' WHEN 3 THEN '' ELSE 'not in vocabulary; kept verbatim' END AS note FROM customer""",
+       CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'spacing normalized' WHEN 2 THEN 'fuzzy-mapped (score ' || CAST(round(200.0 * (length(c_mktsegment) - 1) / (2 * length(c_mktsegment) - 1)) AS INTEGER) || ')' WHEN 3 THEN '' ELSE 'not in vocabulary; kept verbatim' END AS note FROM customer""",
 )
 def categorical_map(spark: SparkSession, root: str) -> DataFrame:
     """Segments printed plainly, spaced out, with a lost letter, with marks, or as something else."""
@@ -360,7 +359,7 @@ def categorical_map(spark: SparkSession, root: str) -> DataFrame:
     )
     entries = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     c = table(spark, root, "customer").select("c_custkey", t.categorical_note(raw, entries).alias("r"))
-    return c.select("c_custkey", F.col("r.value").alias("value"), F.regexp_replace("r.note", r" \(score.*$", "").alias("note"))
+    return c.select("c_custkey", F.col("r.value").alias("value"), F.col("r.note").alias("note"))
 
 
 @query(
@@ -415,11 +414,11 @@ def noisy_or(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "subject_set_group",
-    """WITH s AS (SELECT user_id, list(DISTINCT event_type) AS types, count(*) AS n FROM events WHERE value > 350 GROUP BY 1)
+    """WITH s AS (SELECT user_id, list(DISTINCT event_type) AS types, count(*) AS n FROM events GROUP BY 1)
        SELECT user_id, CASE WHEN list_has_all(types, ['error', 'signup', 'view']) THEN 'ESV' WHEN list_has_all(types, ['click', 'purchase']) THEN 'CP' ELSE '' END AS group_name FROM s""",
 )
 def subject_set_group(spark: SparkSession, root: str) -> DataFrame:
     from folioworks.operators.assemble import first_held_set
 
-    e = table(spark, root, "events").where("value > 350").groupBy("user_id").agg(F.collect_set("event_type").alias("types"))
+    e = table(spark, root, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("types"))
     return e.select("user_id", first_held_set(F.col("types"), [("ESV", ["error", "signup", "view"]), ("CP", ["click", "purchase"])]).alias("group_name"))

@@ -103,14 +103,17 @@ def strata_interleave(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "levenshtein_cer",
-    """SELECT doc_id, round(levenshtein(left(text, 0) || lang, source) / greatest(1, length(source)), 6) AS error_rate,
-       round(1 - levenshtein(lang, source) / greatest(length(lang), length(source)), 6) AS similarity FROM documents""",
+    """WITH b AS (SELECT p_brand, min(p_name) AS base FROM part GROUP BY 1)
+       SELECT p_partkey, round(levenshtein(p_name, base) / greatest(1, length(base)), 6) AS error_rate,
+       round(1 - levenshtein(p_name, base) / greatest(length(p_name), length(base)), 6) AS similarity FROM part JOIN b USING (p_brand)""",
 )
 def levenshtein_cer(spark: SparkSession, root: str) -> DataFrame:
     from folioworks.functions.similarity import levenshtein_similarity
 
-    d = table(spark, root, "documents")
-    return d.select("doc_id", F.round(cer(F.col("lang"), F.col("source")), 6).alias("error_rate"), F.round(levenshtein_similarity(F.col("lang"), F.col("source")), 6).alias("similarity"))
+    p = table(spark, root, "part")
+    p = p.join(p.groupBy("p_brand").agg(F.min("p_name").alias("base")), "p_brand")
+    name, base = F.col("p_name"), F.col("base")
+    return p.select("p_partkey", F.round(cer(name, base), 6).alias("error_rate"), F.round(levenshtein_similarity(name, base), 6).alias("similarity"))
 
 
 @query("indel_ratio_pairs")

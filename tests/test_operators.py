@@ -182,3 +182,34 @@ def test_vote_prefers_a_passing_reading(spark):
     df = spark.createDataFrame([("d", "111", 0.9), ("d", "111", 0.8), ("d", "222", 0.7)], "file string, number string, conf double")
     got = assemble.vote(df, ["file"], "number", [F.col("number") == "222", F.col("votes")]).first()
     assert got["number"] == "222" and got["votes"] == 1
+
+
+def test_split_places_larger_groups_first(spark):
+    docs = [(f"d{i}.pdf", "a" if i < 14 else "b" if i < 17 else "c", "s") for i in range(20)]
+    df = spark.createDataFrame(docs, "file string, group string, stratum string")
+    for seed in range(5):
+        got = split.group_split(df, {"train": 14, "validation": 3, "test": 3}, seed).collect()
+        assert {r["group"]: r["partition"] for r in got if r["group"] == "a"} == {"a": "train"}
+        assert sorted(r["partition"] for r in got if r["group"] != "a") == ["test"] * 3 + ["validation"] * 3
+
+
+def test_split_mixes_strata_of_groups(spark):
+    docs = [(f"d{i}.pdf", f"g{i // 2}", f"s{i // 2 % 4}") for i in range(160)]
+    df = spark.createDataFrame(docs, "file string, group string, stratum string")
+    got = split.group_split(df, {"train": 96, "validation": 32, "test": 32}, 3)
+    counts = {(r["partition"], r["stratum"]): r["n"] for r in split.split_summary(got).collect()}
+    assert all(counts[p, f"s{k}"] == n for p, n in (("train", 24), ("validation", 8), ("test", 8)) for k in range(4))
+
+
+def test_conflicts_are_not_hidden_by_a_blank_hub(spark):
+    pairs = spark.createDataFrame([(1, 2, True), (1, 3, False)], "a long, b long, same_bytes boolean")
+    df = spark.createDataFrame([(1, "", "k"), (2, "X", "k"), (3, "Y", "k")], "id long, name string, other string")
+    got = [tuple(r) for r in truth.conflicts(pairs, df, ["name", "other"], "id").select("id", "field", "severity", "truth_value", "detail").collect()]
+    assert got == [(2, "name", "warning", "X", "3 has Y")]
+
+
+def test_other_nationalities_stay(spark):
+    from folioworks.operators.identity import clean_value
+
+    df = spark.createDataFrame([("ITALIAN",), ("CANADIAN",), ("INDIAM",), ("INDAN",), ("IND",), ("",)], "v string")
+    assert [r[0] for r in df.select(clean_value(F.lit("nationality"), F.col("v"))).collect()] == ["ITALIAN", "CANADIAN", "INDIAN", "INDIAN", "INDIAN", ""]
