@@ -5,9 +5,9 @@ packed into longs; their bands of ROWS full minima give candidate buckets. Two p
 count of differing bits, corrected for values that agree by chance, and what may reach the threshold is confirmed on the whole
 sets. At a similarity of 0.8 a pair shares no band, or falls under the margin of the estimate, about 3 times in a million.
 
-Equal sets are one node. Buckets never emit all their pairs: first every member is compared with its bucket's pivot, in a few
-rounds; members that are then in different components of the same bucket are compared by their packed bits inside the join,
-in blocks, and of what passes the best pair of two components is confirmed first. A link is lost only if its ends are already
+Equal sets are one node. Buckets never emit all their pairs: first every member is compared with two pivots of its bucket; members
+that are then in different components of the same bucket are compared by their packed bits inside the join, in blocks, and
+what passes, and is not ruled out by the distances to the pivot, is confirmed, if it is much, the best pair of two components first. A link is lost only if its ends are already
 in one component.
 
 Texts without words have no shingles and are linked with nothing. A null doc_id sorts behind all others; a component of nulls
@@ -29,13 +29,15 @@ from folioworks.llm import common
 from folioworks.operators.graph import connected_components
 from folioworks.shipping import ship_by_value
 
-BANDS, ROWS, BITS = 32, 5, 2
+BANDS, ROWS, BITS = 32, 5, 4
 HASHES = BANDS * ROWS
 LONGS = HASHES * BITS // 64
+#: Pairs with a pivot are measured from this estimate on, for their distances rule other pairs out.
+FAR = 0.45
 #: Deviations of the estimate that a pair may lie under the threshold and still be confirmed.
 MARGIN = 4.5
-#: Pivots a bucket tries before its remaining components are compared.
-ROUNDS = 2
+#: Remaining pairs for each bucket above which the best pair of two components is confirmed before the others.
+MANY = 4
 #: Pairs of packed signatures that one task compares in a bucket, about.
 BLOCK = 1_000_000
 #: Pairs that share one copy of a pivot's set.
@@ -121,10 +123,15 @@ def signed(docs: DataFrame, rule: Rule, text: str = "text", keep: tuple[str, ...
 
 def estimate(a: str = "bits", b: str = "other") -> Column:
     """Similarity from two packed signatures: the share of equal values, less what chance alone makes equal."""
-    low = F.lit(int("01" * 32, 2))
-    differ = sum(
-        (F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(low)) for x in (F.col(a)[i].bitwiseXOR(F.col(b)[i]) for i in range(LONGS))), F.lit(0)
-    )
+    low = F.lit(int(("0" * (BITS - 1) + "1") * (64 // BITS), 2))
+
+    def differing(x: Column) -> Column:
+        step = 1
+        while step < BITS:  # any differing bit of a value ends up in its lowest
+            x, step = x.bitwiseOR(F.shiftrightunsigned(x, step)), 2 * step
+        return F.bit_count(x.bitwiseAND(low))
+
+    differ = sum((differing(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(LONGS)), F.lit(0))
     chance = 1 / (1 << BITS)
     return ((1 - differ / HASHES) - chance) / (1 - chance)
 
@@ -136,13 +143,13 @@ def least_estimate(percent: int) -> float:
     return j - MARGIN * math.sqrt(agree * (1 - agree) / HASHES) / (1 - chance)
 
 
-def _with_bits(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) whose estimate may reach the threshold, with it. v may be in any number of pairs."""
+def _with_bits(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) whose estimate is `least` or more, with it. v may be in any number of pairs."""
     bits = nodes.select("node", "bits")
     counts = pairs.groupBy("v").agg(F.count("*").alias("n"))
     right = bits.withColumnRenamed("node", "v").withColumnRenamed("bits", "other").join(counts, "v")
     both = common.hot_join(pairs, right, "v").join(bits.withColumnRenamed("node", "u"), "u")
-    return both.withColumn("estimate", estimate()).where(F.col("estimate") >= least_estimate(percent)).drop("bits", "other")
+    return both.withColumn("estimate", estimate()).where(F.col("estimate") >= least).drop("bits", "other")
 
 
 class Sets:
@@ -167,11 +174,9 @@ class Sets:
         made = common.map_texts(texts, run, [("set_key", "binary"), ("members", "binary")], ["_id"])
         return common.written(made.join(asked, ["_id", "set_key"]).dropDuplicates(["node"]).select("node", "members"), "sets")
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (u, v) whose sets are similar enough. A set that many pairs share is copied for every SHARED of them."""
+    def measure(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (u, v) with their similarity j, and whether that links them. A set that many pairs share is copied for every SHARED of them."""
         pairs = common.written(pairs.select("u", "v"), "pairs")
-        if pairs.isEmpty():
-            return pairs
         sets = self.of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
         counts = pairs.groupBy("v").agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / SHARED).cast("int"))
         dealt = common.hot_join(pairs, counts, "v").withColumn("copy", F.pmod(F.xxhash64("u"), F.col("copies")).cast("int")).drop("copies")
@@ -181,77 +186,71 @@ class Sets:
 
         def run(batches):
             for t in batches:
-                keep = []
+                j, linked = [], []
                 for x, y in zip(t.column(2), t.column(3)):
                     a, b = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
                     both = np.sort(np.concatenate((a, b)), kind="stable")
-                    common_ = int((both[1:] == both[:-1]).sum())
-                    keep.append(100 * common_ >= percent * (len(a) + len(b) - common_))
-                yield t.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                    shared = int((both[1:] == both[:-1]).sum())
+                    union = len(a) + len(b) - shared
+                    j.append(shared / union)
+                    linked.append(100 * shared >= percent * union)
+                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(j, pa.float64()), pa.array(linked, pa.bool_())], names=["u", "v", "j", "linked"])
 
-        return common.written(both.mapInArrow(run, "u long, v long"), "links")
+        return common.written(both.mapInArrow(run, "u long, v long, j double, linked boolean"), "links")
 
 
 def _labels(links: DataFrame) -> DataFrame:
     return common.written(connected_components(links, "u", "v"), "labels")
 
 
-def _labelled(crowded: DataFrame, labels: DataFrame) -> DataFrame:
-    return crowded.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
 def link(docs: DataFrame, nodes: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
     """(node, component) of all linked nodes. `nodes` has node, doc_id, set_key, bands and bits and is written."""
     sets = Sets(docs, nodes, rule, text)
     rows = nodes.select("node", F.explode("bands").alias("band"))
-    counts = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
-    counts = common.written(counts, "buckets")
+    turn = F.struct(F.xxhash64("node").alias("h"), "node")
+    counts = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.min(turn).alias("t")).where("n > 1")
+    counts = common.written(counts.select("band", "n", F.array("first", "t.node").alias("pivots")), "buckets")
     crowded = common.written(common.hot_join(rows, counts, "band"), "crowded")
-    pairs = common.written(crowded.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), "pairs")
-    links = sets.confirm(_with_bits(pairs, nodes, rule.percent))
+    pairs = common.written(crowded.select(F.col("node").alias("u"), F.explode("pivots").alias("v")).where("u <> v").distinct(), "pairs")
+    measured = sets.measure(_with_bits(pairs, nodes, FAR))
+    links = measured.where("linked").select("u", "v")
     labels = _labels(links)
-    tried = pairs
-    sizes = counts.select("band", "n")
-    for r in range(1, ROUNDS):
-        here = common.written(_labelled(crowded.select("band", "node"), labels), "labelled")
-        pick = F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "component")
-        split = here.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(pick).alias("p")).where("lo < hi")
-        split = split.join(sizes, "band").select("band", "n", F.col("p.node").alias("v"), F.col("p.component").alias("_c"))
-        more = common.hot_join(here, common.written(split, "pivots"), "band").where("component <> _c").select(F.col("node").alias("u"), "v").distinct()
-        more = common.written(more.join(tried, ["u", "v"], "left_anti"), "pairs")
-        tried = tried.unionByName(more)
-        links = links.unionByName(sets.confirm(_with_bits(more, nodes, rule.percent)))
-        labels = _labels(links)
-    rest = _across(common.written(_labelled(crowded.select("band", "node"), labels), "labelled"), nodes, rule.percent)
-    rest = common.written(rest.join(tried, ["u", "v"], "left_anti").join(tried.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti"), "across")
-    if rest.isEmpty():
+    at = crowded.select("band", F.col("node").alias("u"), F.col("pivots")[0].alias("v")).join(measured.select("u", "v", "j"), ["u", "v"], "left")
+    at = at.select("band", F.col("u").alias("node"), F.when(F.col("u") == F.col("v"), 1.0).otherwise(F.col("j")).alias("j"))
+    here = common.written(at.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
+    back = pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    rest = _across(here, nodes, rule.percent).join(pairs.unionByName(back), ["u", "v"], "left_anti")
+    rest = common.written(rest, "across")
+    n = rest.count()
+    if not n:
         return labels
-    best = rest.groupBy("cu", "cv").agg(F.max(F.struct("estimate", "u", "v")).alias("b")).select("b.u", "b.v")
-    links = links.unionByName(sets.confirm(best))
-    labels = _labels(links)
-    ends = [labels.select(F.col("node").alias(x), F.col("component").alias(f"_{x}")) for x in "uv"]
-    open_ = rest.select("u", "v").join(ends[0], "u", "left").join(ends[1], "v", "left")
-    open_ = open_.where(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("u", "v")
-    more = sets.confirm(open_.join(best, ["u", "v"], "left_anti"))
-    return _labels(links.unionByName(more)) if not more.isEmpty() else labels
+    if n > MANY * counts.count():  # two components may have many such pairs: the best of each two first
+        best = rest.groupBy("cu", "cv").agg(F.max(F.struct("estimate", "u", "v")).alias("b")).select("b.u", "b.v")
+        links = links.unionByName(sets.measure(best).where("linked").select("u", "v"))
+        labels = _labels(links)
+        ends = [labels.select(F.col("node").alias(x), F.col("component").alias(f"_{x}")) for x in "uv"]
+        open_ = rest.select("u", "v").join(ends[0], "u", "left").join(ends[1], "v", "left")
+        rest = open_.where(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("u", "v").join(best, ["u", "v"], "left_anti")
+    more = sets.measure(rest).where("linked").select("u", "v")
+    return labels if more.isEmpty() else _labels(links.unionByName(more))
 
 
 def _across(here: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket in different components that may be similar enough: u, v, cu, cv and the estimate.
 
-    One side are the members outside the bucket's first component, dealt over blocks; the other side is copied to each block.
+    Distances to the bucket's pivot, where they were measured, rule out pairs: Jaccard distance is a metric, so two sets differ
+    at least as much as their distances to a third. One side are the members outside the bucket's first component, dealt over blocks; the other side is copied to each block.
     """
-    split = here.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    split = common.written(split.select("band", "n", "lo"), "split")
-    members = common.written(common.hot_join(here, split, "band").join(nodes.select("node", "bits"), "node"), "members")
-    blocks = members.groupBy("band").agg(F.count("*").alias("n"), F.sum((F.col("component") != F.col("lo")).cast("int")).alias("strays"))
-    blocks = blocks.withColumn("blocks", F.ceil(F.col("n") * F.col("strays") / BLOCK).cast("int"))
-    dealt = common.hot_join(members, common.written(blocks.select("band", "n", "blocks"), "blocks"), "band")
-    dealt = common.written(dealt, "dealt")
-    a = dealt.where("component <> lo").select("band", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("u"), F.col("component").alias("cu"), "bits")
-    b = dealt.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("v"), F.col("component").alias("cv"), F.col("bits").alias("other"), "lo")
+    parts = here.groupBy("band", "component").agg(F.count("*").alias("k"))
+    split = parts.groupBy("band").agg(F.sum("k").alias("n"), F.min(F.struct("component", "k")).alias("f"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = F.ceil(F.col("n") * (F.col("n") - F.col("f.k")) / BLOCK).cast("int")
+    split = common.written(split.select("band", "n", F.col("f.component").alias("lo"), blocks.alias("blocks")), "split")
+    dealt = common.written(common.hot_join(here, split, "band").join(nodes.select("node", "bits"), "node"), "dealt")
+    a = dealt.where("component <> lo").select("band", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("u"), F.col("component").alias("cu"), "bits", "j")
+    b = dealt.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("v"), F.col("component").alias("cv"), F.col("bits").alias("other"), "lo", F.col("j").alias("jv"))
     once = (F.col("cv") == F.col("lo")) | (F.col("cu") < F.col("cv"))
-    near = a.join(b, (a["band"] == b["band"]) & (a["block"] == b["block"]) & (F.col("cu") != F.col("cv")) & once & (estimate() >= least_estimate(percent)))
+    metric = F.coalesce(F.abs(F.col("j") - F.col("jv")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    near = a.join(b, (a["band"] == b["band"]) & (a["block"] == b["block"]) & (F.col("cu") != F.col("cv")) & once & metric & (estimate() >= least_estimate(percent)))
     return near.select("u", "v", "cu", "cv", estimate().alias("estimate")).distinct()
 
 
