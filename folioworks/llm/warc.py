@@ -89,9 +89,9 @@ def headers(elected: DataFrame, date: str) -> DataFrame:
 
 
 def payload_store(pages: DataFrame) -> DataFrame:
-    """(digest, body): every distinct payload once. Copies meet in partial aggregates before anything is shuffled."""
+    """(digest, n, body): every distinct payload once, with its length. Copies meet in partial aggregates before anything is shuffled."""
     body = F.coalesce("html", F.lit(""))
-    return common.written(pages.select(F.sha2(F.encode(body, "UTF-8"), 256).alias("digest"), body.alias("body")).groupBy("digest").agg(F.first("body").alias("body")), "warc-payloads")
+    return common.written(pages.select(F.sha2(F.encode(body, "UTF-8"), 256).alias("digest"), body.alias("body")).groupBy("digest").agg(F.first("body").alias("body")).select("digest", F.octet_length("body").cast("long").alias("n"), "body"), "warc-payloads")
 
 
 def rebuild(heads: DataFrame, store: DataFrame) -> DataFrame:
@@ -99,10 +99,14 @@ def rebuild(heads: DataFrame, store: DataFrame) -> DataFrame:
 
     A digest of a large payload has one response; one of a small payload may have any number, so that join heeds hot digests.
     """
-    responses = heads.where("record_type = 'response'").select("digest", "head")
-    counts = responses.groupBy("digest").agg(F.count("*").alias("share"))
-    joined = common.hot_join(responses, store.join(counts, "digest"), "digest", "share")
-    return joined.select(F.concat("head", "body").alias("record")).unionByName(heads.where("record_type = 'revisit'").select(F.col("head").alias("record")))
+    is_large = F.col("n") >= REVISIT_FROM
+    responses = heads.where("record_type = 'response'").select("digest", "n", "head")
+    large = responses.where(is_large).join(store.where(is_large).select("digest", "body"), "digest")
+    few = responses.where(~is_large).drop("n")
+    counts = few.groupBy("digest").agg(F.count("*").alias("share"))
+    small = common.hot_join(few, store.where(~is_large).select("digest", "body").join(counts, "digest"), "digest", "share")
+    made = [x.select(F.concat("head", "body").alias("record")) for x in (large, small)]
+    return made[0].unionByName(made[1]).unionByName(heads.where("record_type = 'revisit'").select(F.col("head").alias("record")))
 
 
 def write_files(records: DataFrame, path: str) -> None:
