@@ -149,11 +149,10 @@ def same_name_links(people: DataFrame, id_: str, similarity: float = vocab.NAME_
         )
 
     paired = linked_within_buckets(with_father.distinct(), near)
-    # a record without a father links to every record of its name, so one such record per block carries the rest
-    orphan = blocks.where("f = ''").groupBy("ks").agg(F.min_by(F.struct("id", "s", "f"), "id").alias("p"))
-    loose = blocks.select("ks", F.struct("id", "s", "f").alias("m")).join(orphan, "ks").where("m.id <> p.id").where(near("m", "p"))
-    loose = loose.select(F.least("m.id", "p.id").alias("a"), F.greatest("m.id", "p.id").alias("b"))
-    return copies.union(paired).union(loose).distinct()
+    # a record without a father links to any record of its name: blocks that hold one are compared by the student's name alone
+    orphaned = blocks.where("f = ''").select("ks").distinct()
+    loose = blocks.join(orphaned, "ks", "left_semi").select("id", "s", "f", F.xxhash64("ks").alias("bucket")).distinct()
+    return copies.union(paired).union(linked_within_buckets(loose, near)).distinct()
 
 
 def same_parent_links(people: DataFrame, id_: str, cutoff: float = 95.0) -> DataFrame:

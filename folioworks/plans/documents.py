@@ -52,9 +52,9 @@ def certificate_classes(spark: SparkSession, root: str) -> DataFrame:
     f"""WITH {TRUTH_SQL} SELECT 'certificate' AS role, count(*) AS documents FROM c""",
 )
 def certificate_page_roles(spark: SparkSession, root: str) -> DataFrame:
-    """First pages by role; every first page shows enough labels to be a certificate side."""
+    """Pages by role; every page shows enough labels to be a certificate side."""
     _, pages = phrases.classify_documents(derived.certificate_lines(spark, root))
-    return pages.where("page = 1").groupBy("role").agg(F.count("*").alias("documents"))
+    return pages.groupBy("role").agg(F.count("*").alias("documents"))
 
 
 _WORDS = {
@@ -105,7 +105,7 @@ def registration_numbers(spark: SparkSession, root: str) -> DataFrame:
     f"""WITH {TRUTH_SQL} SELECT file, CASE WHEN ledger THEN 1 ELSE 3 END AS hits FROM c""",
 )
 def keyword_counts(spark: SparkSession, root: str) -> DataFrame:
-    lines = derived.certificate_lines(spark, root).where("page = 1")
+    lines = derived.certificate_lines(spark, root)
     return phrases.keyword_hits(lines, ["INTERMEDIATE EDUCATION", "PASS CERTIFICATE", "REGISTERED NO"], ["file"])
 
 

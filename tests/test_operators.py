@@ -213,3 +213,11 @@ def test_other_nationalities_stay(spark):
 
     df = spark.createDataFrame([("ITALIAN",), ("CANADIAN",), ("INDIAM",), ("INDAN",), ("IND",), ("",)], "v string")
     assert [r[0] for r in df.select(clean_value(F.lit("nationality"), F.col("v"))).collect()] == ["ITALIAN", "CANADIAN", "INDIAN", "INDIAN", "INDIAN", ""]
+
+
+def test_a_record_without_a_father_links_to_every_near_name(spark):
+    people = spark.createDataFrame(
+        [(1, "RAMESH PRASAD", ""), (2, "RAMESH KUMAR", ""), (3, "RAMESH KUMAAR", "VENKAT RAO")], "id long, student_name string, father_name string"
+    )
+    got = {(r["a"], r["b"]) for r in dedup.same_name_links(people, "id").select("a", "b").collect()}
+    assert got == {(2, 3)}
