@@ -6,8 +6,8 @@ count of differing bits, corrected for values that agree by chance, and what may
 sets. At a similarity of 0.8 a pair shares no band, or falls under the margin of the estimate, about 3 times in a million.
 
 Equal sets are one node. Buckets never emit all their pairs: first every member is compared with two pivots of its bucket; members
-that are then in different components of the same bucket are compared by their packed bits inside the join, in blocks, and
-what passes, and is not ruled out by the distances to the pivot, is confirmed, if it is much, the best pair of two components first. A link is lost only if its ends are already
+that are then in different components of the same bucket meet in blocks of bounded size, where packed bits and distances to
+the pivot rule pairs out and whole sets confirm the others. A link is lost only if its ends are already
 in one component.
 
 Texts without words have no shingles and are linked with nothing. A null doc_id sorts behind all others; a component of nulls
@@ -36,10 +36,8 @@ LONGS = HASHES * BITS // 64
 FAR = 0.45
 #: Deviations of the estimate that a pair may lie under the threshold and still be confirmed.
 MARGIN = 4.5
-#: Remaining pairs for each bucket above which the best pair of two components is confirmed before the others.
-MANY = 4
-#: Pairs of packed signatures that one task compares in a bucket, about.
-BLOCK = 1_000_000
+#: Members of a bucket on each side of a block, about.
+SIDE = 512
 #: Pairs that share one copy of a pivot's set.
 SHARED = 256
 
@@ -218,40 +216,73 @@ def link(docs: DataFrame, nodes: DataFrame, rule: Rule, text: str = "text") -> D
     at = crowded.select("band", F.col("node").alias("u"), F.col("pivots")[0].alias("v")).join(measured.select("u", "v", "j"), ["u", "v"], "left")
     at = at.select("band", F.col("u").alias("node"), F.when(F.col("u") == F.col("v"), 1.0).otherwise(F.col("j")).alias("j"))
     here = common.written(at.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
-    back = pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    rest = _across(here, nodes, rule.percent).join(pairs.unionByName(back), ["u", "v"], "left_anti")
-    rest = common.written(rest, "across")
-    n = rest.count()
-    if not n:
-        return labels
-    if n > MANY * counts.count():  # two components may have many such pairs: the best of each two first
-        best = rest.groupBy("cu", "cv").agg(F.max(F.struct("estimate", "u", "v")).alias("b")).select("b.u", "b.v")
-        links = links.unionByName(sets.measure(best).where("linked").select("u", "v"))
-        labels = _labels(links)
-        ends = [labels.select(F.col("node").alias(x), F.col("component").alias(f"_{x}")) for x in "uv"]
-        open_ = rest.select("u", "v").join(ends[0], "u", "left").join(ends[1], "v", "left")
-        rest = open_.where(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("u", "v").join(best, ["u", "v"], "left_anti")
-    more = sets.measure(rest).where("linked").select("u", "v")
+    more = _across(here, nodes, sets, rule.percent)
     return labels if more.isEmpty() else _labels(links.unionByName(more))
 
 
-def _across(here: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components that may be similar enough: u, v, cu, cv and the estimate.
+def _across(here: DataFrame, nodes: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """Links (u, v) between members of one bucket that are in different components; one for each two components and block.
 
-    Distances to the bucket's pivot, where they were measured, rule out pairs: Jaccard distance is a metric, so two sets differ
-    at least as much as their distances to a third. One side are the members outside the bucket's first component, dealt over blocks; the other side is copied to each block.
+    One side are the members outside the bucket's first component, the other all members. Both are cut into blocks of about
+    SIDE, and every two blocks meet in one task with their packed bits and whole sets. Distances to the bucket's pivot, where
+    they were measured, rule out pairs: Jaccard distance is a metric, so two sets differ at least as much as their distances
+    to a third. What the estimate leaves is counted on the whole sets, all pairs of two blocks in one product of matrices.
     """
     parts = here.groupBy("band", "component").agg(F.count("*").alias("k"))
     split = parts.groupBy("band").agg(F.sum("k").alias("n"), F.min(F.struct("component", "k")).alias("f"), F.count("*").alias("parts")).where("parts > 1")
-    blocks = F.ceil(F.col("n") * (F.col("n") - F.col("f.k")) / BLOCK).cast("int")
-    split = common.written(split.select("band", "n", F.col("f.component").alias("lo"), blocks.alias("blocks")), "split")
-    dealt = common.written(common.hot_join(here, split, "band").join(nodes.select("node", "bits"), "node"), "dealt")
-    a = dealt.where("component <> lo").select("band", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("u"), F.col("component").alias("cu"), "bits", "j")
-    b = dealt.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("v"), F.col("component").alias("cv"), F.col("bits").alias("other"), "lo", F.col("j").alias("jv"))
-    once = (F.col("cv") == F.col("lo")) | (F.col("cu") < F.col("cv"))
-    metric = F.coalesce(F.abs(F.col("j") - F.col("jv")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    near = a.join(b, (a["band"] == b["band"]) & (a["block"] == b["block"]) & (F.col("cu") != F.col("cv")) & once & metric & (estimate() >= least_estimate(percent)))
-    return near.select("u", "v", "cu", "cv", estimate().alias("estimate")).distinct()
+    over = lambda c: F.ceil(c / SIDE).cast("int")
+    split = common.written(split.select("band", "n", F.col("f.component").alias("lo"), over(F.col("n") - F.col("f.k")).alias("rows"), over(F.col("n")).alias("columns")), "split")
+    dealt = common.written(common.hot_join(here, split, "band"), "dealt")
+    whole = sets.of(dealt.select("node").distinct())
+    data = nodes.select("node", "bits").join(whole, "node")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = ["band", "node", "component", "lo", "j"]
+    a = dealt.where("component <> lo").withColumn("row", block("rows")).select(*one, "row", every("columns").alias("column"), F.lit(True).alias("stray"))
+    b = dealt.withColumn("column", block("columns")).select(*one, "column", every("rows").alias("row"), F.lit(False).alias("stray"))
+    both = a.unionByName(b).join(data, "node")
+    least = least_estimate(percent)
+
+    def compare(table):
+        import pyarrow.compute as pc
+
+        def side(stray):
+            t = table.filter(pc.equal(table.column("stray"), stray))
+            bits = np.array(t.column("bits").to_pylist(), dtype=np.int64).reshape(-1, LONGS).view(np.uint64)
+            members = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t.column("members")]
+            j = np.array([np.nan if x is None else x for x in t.column("j").to_pylist()], dtype=float)
+            return t.column("node").to_numpy(), t.column("component").to_numpy(), j, bits, members
+
+        none = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        (u, cu, ju, bu, su), (v, cv, jv, bv, sv) = side(True), side(False)
+        if not len(u) or not len(v):
+            return none
+        lo = table.column("lo")[0].as_py()
+        open_ = (cu[:, None] != cv[None, :]) & ((cv[None, :] == lo) | (cu[:, None] < cv[None, :]))
+        open_ &= ~(np.abs(ju[:, None] - jv[None, :]) > 1 - percent / 100 + 1e-9)
+        differ = np.zeros(open_.shape, dtype=np.int64)
+        low = np.uint64(int(("0" * (BITS - 1) + "1") * (64 // BITS), 2))
+        for k in range(LONGS):
+            x, step = bu[:, None, k] ^ bv[None, :, k], 1
+            while step < BITS:
+                x, step = x | (x >> np.uint64(step)), 2 * step
+            differ += np.bitwise_count(x & low)
+        chance = 1 / (1 << BITS)
+        open_ &= ((1 - differ / HASHES) - chance) / (1 - chance) >= least
+        if not open_.any():
+            return none
+        held = np.intersect1d(np.unique(np.concatenate(su)), np.unique(np.concatenate(sv)), assume_unique=True)
+        shared = np.zeros(open_.shape)
+        for k in range(0, len(held), 4096):  # as many shingles at a time as keep the matrices small
+            some = held[k : k + 4096]
+            left, right = (np.array([np.isin(some, m, assume_unique=True) for m in x], dtype=np.float32) for x in (su, sv))
+            shared += left @ right.T
+        sizes = np.array([len(m) for m in su])[:, None] + np.array([len(m) for m in sv])[None, :]
+        x, y = np.nonzero(open_ & (100 * shared >= percent * (sizes - shared)))
+        _, first = np.unique(np.stack((cu[x], cv[y])), axis=1, return_index=True)
+        return pa.table({"u": pa.array(u[x[first]], pa.int64()), "v": pa.array(v[y[first]], pa.int64())})
+
+    return common.written(both.groupBy("band", "row", "column").applyInArrow(compare, "u long, v long").distinct(), "across")
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
