@@ -145,7 +145,9 @@ def parse_month(c: Column) -> Column:
             F.try_element_at(abbreviated, F.lit(1)),
         )
 
-    near = best_entry_per_word(vocab.MONTHS, 85)(letters)
+    # the first word decides most texts by itself; only the others are compared by spelling
+    plain = spelled(F.coalesce(F.try_element_at(tokens, F.lit(1)), F.lit("")))
+    near = best_entry_per_word(vocab.MONTHS, 85)(F.when(plain.isNull(), letters))
     reading = F.zip_with(F.transform(tokens, spelled), near, lambda plain, close: F.coalesce(plain, close))
     return F.coalesce(F.try_element_at(F.filter(reading, lambda m: m.isNotNull()), F.lit(1)), F.lit(""))
 

@@ -23,6 +23,7 @@ def build_session(cores: int | str = "*", app: str = "folioworks", shuffle_parti
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("FOLIO_DRIVER_MEMORY", "12g"))
     )
     if shuffle_partitions:
