@@ -8,8 +8,8 @@ readings are scored together with the text as it stands.
 The score comes from words and word beginnings that labelled documents show to be toxic. First they are chosen one after
 another, each the one that best separates toxic from clean among the documents no earlier one explains; then all others are
 added whose own evidence is as strong and who stand in many different places. So words that merely occur in copies of one
-toxic document are not taken; near copies are also counted once. Learning reads at most SAMPLE labelled documents a
-class, those of smallest hash; counts for the character model cover all documents; scoring reads every whole text.
+toxic document are not taken; near copies are also counted once, before anything is sampled. Learning reads at most SAMPLE
+different labelled documents a class, those of smallest hash; counts for the character model cover all documents; scoring reads every whole text.
 
 Null and empty texts get the score of a text without any sign of toxicity. Labels that are null or belong to no document are
 ignored; of several labels for one document the highest counts. Without toxic labels every score is the smoothed base rate.
@@ -29,10 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioworks.llm import common
+from folioworks.llm.neardup import Signer, shingles
 from folioworks.shipping import ship_by_value
 
 #: Labelled documents of each class that are learnt from, at most.
 SAMPLE = 10_000
+#: Bands of minima by which near copies are told: a pair of similarity 0.8 shares one with a probability of 0.998.
+COPY_BANDS = 16
 #: Signs of toxicity that are weighed against each other, and how many may be chosen, at most.
 CANDIDATES, CHOSEN = 5_000, 500
 BEGINNINGS = (4, 5, 6, 7)
@@ -225,14 +228,41 @@ class Toxicity:
     base: float
 
 
-def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of the labelled documents that may be learnt from: per class the `size` of smallest hash, so it can be broadcast."""
+def different(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, key, toxic), written: labelled documents that may be learnt from, near copies within a class counted once.
+
+    Texts that share a band of five independent minima of their five-word shingles are copies; the smallest doc_id stays.
+    Of every text only its bands are shuffled.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    parts = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for k in (1, 0)]
+
+    def run(texts):
+        signer, out = Signer(), []
+        for t in texts:
+            found = shingles(t, 5)
+            out.append(signer.sign(found)[0][:COPY_BANDS] if len(found) else [0])  # texts without words are copies of each other
+        return [pa.array(out, pa.list_(pa.int64()))]
+
+    bands = common.map_texts(keyed(docs), run, [("bands", "array<bigint>")], ["doc_id", "key"])
+    rows = common.written(bands.join(known, "doc_id").dropDuplicates(["doc_id", "key"]), "toxicity-bands")
+    one = F.struct("doc_id", "key")
+    each = common.written(rows.select(one.alias("one"), F.explode("bands").alias("band"), "toxic").select("one", F.xxhash64("toxic", "band").alias("band")), "toxicity-each")
+    shared = each.groupBy("band").agg(F.min("one").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = common.hot_join(each, common.written(shared, "toxicity-shared"), "band").where(F.col("one") > F.col("first")).select("one.*").distinct()
+    return common.written(rows.join(copies, ["doc_id", "key"], "left_anti").select("doc_id", "key", "toxic"), "toxicity-different")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key): the key tells different texts of one doc_id apart."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+
+
+def sample(docs: DataFrame, known: DataFrame, size: int = SAMPLE) -> DataFrame:
+    """(text, toxic) of the `different` documents: per class the `size` of smallest hash, so it can be broadcast."""
+    parts = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(size) for k in (1, 0)]
     some = common.written(parts[0].unionByName(parts[1]), "toxicity-sample")
-    words = F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.xxhash64(w))  # near copies mostly agree in the least hash
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("_least", F.array_min(words))
-    return common.written(texts.dropDuplicates(["_least", "toxic"]).select("text", "toxic"), "toxicity-texts")
+    texts = keyed(docs).join(F.broadcast(some), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+    return common.written(texts.select("text", "toxic"), "toxicity-texts")
 
 
 def signs_of(low: str) -> set[str]:
@@ -354,9 +384,10 @@ def choose(signs: list[str], held: list[dict[int, str]], toxic: list[bool], weig
 def learn(docs: DataFrame, labels: DataFrame) -> Toxicity:
     """The model of a corpus and its labels. The driver sees trigram counts (a fixed alphabet), CANDIDATES signs and the sample's signs."""
     characters = character_model([tuple(r) for r in character_counts(docs).collect()])
-    texts = sample(docs, labels)
+    known = different(docs, labels)
+    texts = sample(docs, known)
     sizes = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    all_of = {r.toxic: r.n for r in labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    all_of = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1):
         return Toxicity(characters, {}, 0.5 / (sizes.get(0, 0) + 1))
     weight = (max(1.0, all_of[0] / sizes[0]) if sizes.get(0) else 1.0, max(1.0, all_of[1] / sizes[1]))

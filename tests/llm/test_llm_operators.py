@@ -310,6 +310,20 @@ def test_toxicity_on_labelled_and_odd_rows(spark):
     assert not none.signs and toxicity.score(empty(spark), none, ["doc_id"]).count() == 0
 
 
+def test_different_texts_with_a_common_word_stay_in_the_sample(spark):
+    rng = np.random.default_rng(12)
+    filler = [f"w{i}" for i in range(3000)]
+    texts = [" ".join([*rng.choice(filler, 30), "are", *rng.choice(filler, 30)]) for _ in range(60)]
+    copies = [f"{texts[0]} end", texts[1], texts[1].upper()]
+    docs = documents(spark, texts + copies)
+    labels = spark.createDataFrame([(i, 1, int(i % 2)) for i in range(1, 61)] + [(61, 1, 1), (62, 1, 0), (63, 1, 1)], "doc_id long, quality int, toxic int")
+    free = {r.doc_id for r in labels.where(~toxicity.held_out(F.col("doc_id"))).collect()}
+    kept = {r.doc_id for r in toxicity.different(docs, labels).collect()}
+    lost = {c for c, first in ((61, 1), (62, 2)) if first in free}  # 63 copies 2 too, but in the other class
+    assert kept == free - lost
+    assert toxicity.sample(docs, toxicity.different(docs, labels)).count() == len(kept)
+
+
 # Near duplicates.
 
 
