@@ -1,9 +1,10 @@
 """Toxicity of deobfuscated text by a noisy channel.
 
-Spans that look disguised (digits and signs inside words, letters drawn out, letters set apart) become character lattices:
+Spans that look disguised (digits and signs in words, letters drawn out, letters set apart) become character lattices:
 a sign may stand for one of several letters, a run of a letter for one or two of it, a blank or dash between single letters
 for nothing. A character trigram model, counted over all documents, decides by Viterbi search which reading was meant. The
-readings are scored together with the text as it stands.
+readings are scored together with the text as it stands. A sign that only stands in a text when the pieces of a broken word
+are put together counts if the same model would rather have them as one word.
 
 The score comes from words and word beginnings that labelled documents show to be toxic. First they are chosen one after
 another, each the one that best separates toxic from clean among the documents no earlier one explains; then all others are
@@ -56,12 +57,22 @@ STANDS_FOR = {
 SIGNS = re.escape("".join(STANDS_FOR))
 #: Nats that a channel step costs.
 AS_SIGN, AS_RUN, DROPPED, KEPT_APART = 0.7, 0.2, 0.1, 1.5
+#: Nats by which a word must be likelier than its pieces, for each place where it is broken.
+BROKEN = 4.0
 
 _LETTER = r"[^\W\d_]"
 WORD = re.compile(rf"{_LETTER}+")
-MIXED = re.compile(rf"(?<!\S)(?:[{SIGNS}]+{_LETTER}|{_LETTER}+[{SIGNS}]+(?={_LETTER}|\d))(?:{_LETTER}|[{SIGNS}](?=[{SIGNS}]*{_LETTER})|\d)*")
+_DRAWN = rf"(?:{_LETTER}|\d|[{SIGNS}])"
+#: Runs of letters, digits and signs, wherever they stand, with a letter and something else.
+MIXED = re.compile(rf"(?<!{_LETTER})(?<![\d{SIGNS}])(?:[\d{SIGNS}]+{_LETTER}|{_LETTER}+[\d{SIGNS}]){_DRAWN}*")
+#: Signs that also end a sentence, a quotation or a remark: a word is read without those behind it, too.
+ENDS = "!|*+("
 THRICE = re.compile(rf"({_LETTER})\1\1")
-SET_APART = re.compile(rf"(?<![^\W_])[^\W_](?:[ ._*~-]{{1,2}}(?:[^\W_]|[@$!|])(?![^\W_])){{3,}}")
+#: What may stand between letters set apart, and where a word is broken.
+APART = " \t\n\r._*~,;:/'-"
+_APART = re.escape(APART)
+SET_APART = re.compile(rf"(?<![^\W_])[^\W_](?:[{_APART}]{{1,3}}(?:[^\W_]|[@$!|])(?![^\W_])){{2,}}")
+BREAK = re.compile(rf"(?<={_LETTER})[{_APART}]{{1,3}}(?={_LETTER})")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -139,7 +150,7 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
         if c.isalpha():
             once = [(c, AS_RUN), (c + c, AS_RUN)] if j - i > 2 else [(c * (j - i), 0.0)]
             steps.append(once)
-        elif apart and c in " ._*~-":
+        elif apart and c in APART:
             steps.append([("", DROPPED), (" ", KEPT_APART)])
             j = i + 1
         elif c in STANDS_FOR:
@@ -191,17 +202,29 @@ def drawn_out(low: str):
             yield low[start:end]
 
 
+def mixed(low: str):
+    """Runs of letters and signs; one with ENDS behind it also without them, and not with them if a plain word is left."""
+    for m in MIXED.finditer(low):
+        core = m[0].rstrip(ENDS)
+        if not core.isalpha():
+            yield core
+            if core != m[0]:
+                yield m[0]
+        elif m[0][len(core)] != "!":
+            yield m[0]
+
+
 class Reader:
     """Lower-case texts, and the readings of their disguised spans."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.known = model, {}
+        self.model, self.known, self.broken = model, {}, {}
         self.index = {c: i + 1 for i, c in enumerate(LETTERS)}
 
     def read(self, text: str | None) -> tuple[str, str]:
         """The text in lower case, and all readings, a line each."""
         low = (text or "").lower()
-        spans = [*(m[0] for p in (MIXED, SET_APART) for m in p.finditer(low)), *drawn_out(low)]
+        spans = [*mixed(low), *(m[0] for m in SET_APART.finditer(low)), *drawn_out(low)]
         out = []
         for s in dict.fromkeys(spans):
             if not any(c.isalpha() for c in s):
@@ -216,6 +239,26 @@ class Reader:
         return low, "\n".join(out)
 
 
+    def likely(self, text: str) -> float:
+        """log p of the letters and blanks of a text."""
+        a = b = 0
+        total = 0.0
+        for c in text + " ":
+            z = self.index.get(c, ALPHABET - 1 if c.isalpha() else 0)
+            total += float(self.model[a, b, z])
+            a, b = b, z
+        return total
+
+    def is_one_word(self, pieces: list[str]) -> bool:
+        """Whether the character model would rather have the pieces as one word."""
+        key = tuple(pieces)
+        if key not in self.broken:
+            if len(self.broken) > 100_000:
+                self.broken.clear()
+            self.broken[key] = self.likely("".join(pieces)) - self.likely(" ".join(pieces)) > BROKEN * (len(pieces) - 1)
+        return self.broken[key]
+
+
 # What is toxic.
 
 
@@ -310,6 +353,7 @@ class Finder:
         if by_text:
             self.machine.make_automaton()
         self.any = bool(by_text)
+        self.kept = np.array([chr(c) not in APART for c in range(129)])
 
     def find(self, low: str) -> dict[int, str]:
         """Signs, each with what stands before it where it first occurs."""
@@ -325,6 +369,28 @@ class Finder:
         return out
 
 
+    def find_broken(self, low: str, reader: Reader) -> dict[int, str]:
+        """Signs in words that are broken where the character model would rather have them whole."""
+        out: dict[int, str] = {}
+        if not self.any or not low:
+            return out
+        cps = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        kept = self.kept[np.minimum(cps, 128)]
+        where = np.flatnonzero(kept)
+        for end, (n, which) in self.machine.iter(cps[kept].tobytes().decode("utf-32-le", "surrogatepass")):
+            start, stop = int(where[end - n + 1]), int(where[end]) + 1
+            if stop - start == n or (start and low[start - 1].isalpha()):
+                continue
+            closed = stop == len(low) or not low[stop].isalpha()
+            while stop < len(low) and low[stop].isalpha():
+                stop += 1
+            new = [i for i, whole in which if (closed or not whole) and i not in out]
+            pieces = BREAK.split(low[start:stop]) if new else []
+            if new and all(map(str.isalpha, pieces)) and reader.is_one_word(pieces):
+                out |= dict.fromkeys(new, low[max(0, start - 10) : start])
+        return out
+
+
 def _evidence(toxic: float, clean: float, rate: float) -> float:
     """Log-likelihood ratio of a sign's documents against the base rate; below 0 for signs of the clean class."""
     n = toxic + clean
@@ -425,8 +491,7 @@ def score(docs: DataFrame, model: Toxicity, keep: list[str], text: str = "text")
         for t in texts:
             low, read = reader.read(t)
             found = finder.find(low)
-            if read:
-                found = {**finder.find(read), **found}
+            found = {**finder.find_broken(low, reader), **(finder.find(read) if read else {}), **found}
             scores.append(1 - math.exp(sum(clean[i] for i in found)) if found else base)
             numbers.append(len(found))
         return [pa.array(scores, pa.float64()), pa.array(numbers, pa.int64())]

@@ -272,6 +272,23 @@ def test_lattices_are_read_back():
     assert reader.read(None) == ("", "") and reader.read("a " * 50_000)[1]
 
 
+def test_disguises_are_read_wherever_they_stand():
+    texts = ["you idiot and moron", "the stupid clown", "a pathetic loser", "worthless trash and scum", "disgusting words in the text", "such an ass and a fag"] * 30
+    codes, total = toxicity.letter_codes(), np.zeros(toxicity.ALPHABET**3, dtype=np.int64)
+    x = codes[np.frombuffer(" ".join(texts).encode("utf-32-le"), dtype="<u4")]
+    np.add.at(total, (x[:-2] * toxicity.ALPHABET + x[1:-1]) * toxicity.ALPHABET + x[2:], 1)
+    reader = toxicity.Reader(toxicity.character_model([(i, int(n)) for i, n in enumerate(total) if n]))
+    cases = [('"id1ot"', "idiot"), ("[id1ot]", "idiot"), ("you,id1ot", "idiot"), ("dumb/id1ot", "idiot"), ("so-called-id1ot", "idiot"), ("worthle$$", "worthless"), ("a$$", "ass"), ("tra$#", "trash"),
+             ("tr@$#", "trash"), ("f a g", "fag"), ("s,c,u,m", "scum"), ("id!o+", "idiot"), ("s   c   u   m", "scum"), ("s\nc\nu\nm", "scum")]
+    for disguised, meant in cases:
+        assert meant in reader.read(f"see {disguised} there")[1].split("\n"), disguised
+    finder = toxicity.Finder(["idiot ", "stupid ", "scum "])
+    for broken, sign in [("id iot", 0), ("st-up-id", 1), ("sc.um", 2), ("an id\niot", 0)]:
+        assert list(finder.find_broken(f"the {broken} there", reader)) == [sign], broken
+    assert not finder.find_broken("the idiot, stupid. and scum", reader) and not finder.find_broken("", reader)
+    assert not finder.find_broken("a placid iota and sc" + " " * 9 + "um", reader)
+
+
 def test_viterbi_equals_the_best_of_all_paths():
     rng = np.random.default_rng(2)
     model = np.log(rng.dirichlet(np.ones(toxicity.ALPHABET), (toxicity.ALPHABET, toxicity.ALPHABET))).astype(np.float32)
