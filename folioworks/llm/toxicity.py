@@ -8,7 +8,7 @@ are put together counts if the same model would rather have them as one word.
 
 The score comes from words and word beginnings that labelled documents show to be toxic. First they are chosen one after
 another, each the one that best separates toxic from clean among the documents no earlier one explains; then all others are
-added whose own evidence is as strong and who stand in many different places. So words that merely occur in copies of one
+added whose own evidence is as strong. All stand in several different places. So words that merely occur in copies of one
 toxic document are not taken; near copies are also counted once, before anything is sampled. Learning reads at most SAMPLE
 different labelled documents a class, those of smallest hash; counts for the character model cover all documents; scoring reads every whole text.
 
@@ -42,8 +42,8 @@ CANDIDATES, CHOSEN = 5_000, 500
 BEGINNINGS = (4, 5, 6, 7)
 #: A sign is toxic only if this part of the documents that hold it is.
 SURE = 0.7
-#: And only if it stands in different places in this part of them.
-VARIED = 0.8
+#: And only if it stands in so many different places; the number does not grow with the documents.
+PLACES = 3
 THRESHOLD = 0.3
 
 #: Letters the character model tells apart, besides "no letter" (0) and "another letter" (the last). Fixed values.
@@ -416,8 +416,8 @@ def choose(signs: list[str], held: list[dict[int, str]], toxic: list[bool], weig
             count[int(toxic[d]), i] += 1
     total, open_docs, chosen = count.copy(), np.ones(len(held), dtype=bool), {}
     sure = (weight[1] * total[1] + 0.5) / (weight[1] * total[1] + weight[0] * total[0] + 1)
-    places = [len({held[d][i] for d in ds if toxic[d]}) for i, ds in enumerate(docs_of)]
-    varied = [i for i in range(len(signs)) if total[1, i] and places[i] >= VARIED * total[1, i]]
+    befores = [[held[d][i] for d in ds if toxic[d]] for i, ds in enumerate(docs_of)]
+    varied = [i for i, b in enumerate(befores) if len(set(filter(None, b))) + b.count("") >= PLACES]  # each text's start is a place
     left = [float(len(toxic) - sum(toxic)), float(sum(toxic))]
     while len(chosen) < CHOSEN and left[1] > 0:
         rate = weight[1] * left[1] / (weight[1] * left[1] + weight[0] * left[0])

@@ -310,6 +310,13 @@ def test_viterbi_equals_the_best_of_all_paths():
         assert toxicity.readings(span, model, index)[0] == max(paths, key=lambda p: cost(*p))[0].strip()
 
 
+def test_frequent_signs_and_signs_at_the_start_are_chosen():
+    signs = ["often ", "first ", "once "]
+    held = [{0: f"you are {'abcdef'[d % 6]} "} for d in range(60)] + [{1: ""} for _ in range(30)] + [{2: "the same  "} for _ in range(30)] + [{} for _ in range(400)]
+    chosen, base = toxicity.choose(signs, held, [True] * 120 + [False] * 400, (1.0, 1.0), 3.0)
+    assert set(chosen) == {"often ", "first "} and base < 0.3
+
+
 def test_toxicity_on_labelled_and_odd_rows(spark):
     root = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
