@@ -1,7 +1,7 @@
 """Personal data: patterns of form first, then contexts learnt from them.
 
 E-mail addresses, IP addresses, card and phone numbers that fit their form are found in every whole text. They are the seeds
-of a bootstrap: the words around seeds are lexical patterns; every other token with digits is a candidate; patterns and the
+of a bootstrap: the words around seeds are lexical patterns; every other token with digits or an @ is a candidate; patterns and the
 distinct instances they surround make a graph that is scored in turns: a pattern is as sure as the instances it surrounds,
 an instance as its patterns together. Candidates in patterns of high confidence, carried by enough different seeds, are
 identifiers of the pattern's kind although their form alone does not say so.
@@ -56,6 +56,7 @@ class Forms:
         self.card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
         self.phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
         self.digit = re.compile(r"[0-9]+")
+        self.mark = re.compile(r"[0-9@]+")
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(kind, start, end), by kind and start."""
@@ -78,11 +79,11 @@ class Forms:
         return out
 
     def candidates(self, text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-        """Runs of token characters with at least three digits and six characters, off the spans."""
+        """Runs of token characters with at least three digits and six characters, or with an @ between others, off the spans."""
         out, end = [], 0
         taken = sorted((s, e) for _, s, e in spans)
         k = 0
-        for m in self.digit.finditer(text):
+        for m in self.mark.finditer(text):
             if m.start() < end:
                 continue
             start, end = m.span()
@@ -91,31 +92,39 @@ class Forms:
             while end < len(text) and text[end] in TOKEN:
                 end += 1
             stop = end
-            while text[stop - 1] in "._%+-/@":
+            while stop > start and text[stop - 1] in "._%+-/@":
                 stop -= 1
             while k < len(taken) and taken[k][1] <= start:
                 k += 1
             free = k == len(taken) or taken[k][0] >= stop
-            if free and stop - start >= 6 and sum("0" <= c <= "9" for c in text[start:stop]) > 2:
+            numbered = stop - start >= 6 and sum("0" <= c <= "9" for c in text[start:stop]) > 2
+            if free and (numbered or "@" in text[start + 1 : stop]):
                 out.append((start, stop))
         return out
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns around a span: the two words before it, and the word before with the word after. Digits are all 0."""
-    before = text[max(0, start - 60) : start]
-    words = [w.lower() for w in before.split()]
-    if start > 60 and words and not before[0].isspace():
-        words = words[1:]  # cut in the middle
+    """Lexical patterns around a span: the two words before it, the word before with the word after, each of the two alone,
+    and the word that alone stands before it on its line. Digits are all 0; of words over 60 characters the near end counts."""
+    size = 60
+    while len(words := (before := text[max(0, start - size) : start]).split()) < 3 and size < start:
+        size *= 4  # the first word may be cut, so one more than needed
+    left = [w.lower()[-60:] for w in words[-2:]]
+    line = before.rsplit("\n", 1)[-1].split() if "\n" in before or size >= start else None
     glued = "" if not before or before[-1].isspace() else "<"
-    after = text[end : end + 30].split()
+    after = text[end : end + 60].split()
     right = after[0].lower().strip(".,;:!?") if after and end < len(text) and text[end].isspace() else ""
-    left = words[-2:]
-    if len(left) < 2:
-        return []
-    out = [f"L {left[0]} {left[1]}{glued}"]
+    out = []
+    if len(left) > 1:
+        out.append(f"L {left[0]} {left[1]}{glued}")
+    if left:
+        out.append(f"W {left[-1]}{glued}")
+    if left and right:
+        out.append(f"B {left[-1]}{glued} _ {right}")
     if right:
-        out.append(f"B {left[1]}{glued} _ {right}")
+        out.append(f"R {right}")
+    if line is not None and len(line) < 2:
+        out.append(f"S {line[0].lower()[-60:] if line else ''}{glued}")
     return ["".join("0" if "0" <= c <= "9" else c for c in p) for p in out]
 
 

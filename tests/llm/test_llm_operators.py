@@ -463,6 +463,16 @@ def test_contexts_find_unseen_identifiers(spark):
     assert masked[25] == "and so my card is [CARD] thanks" and masked[26] == texts[25] and masked[1] == "noise 0 words my card is [CARD] thanks"
 
 
+def test_one_word_and_line_start_contexts_find_identifiers(spark):
+    names = "alice bob carol dave erin frank grace heidi ivan judy".split()
+    texts = [f"{n} phone +1 (017) 555-77{10 + i} {n}" for i, n in enumerate(names)] + [f"Mail: {n}@some.org {n}" for n in names]
+    texts += ["zoe phone 555-1234567 zoe", "Mail: zoe@localhost zoe", "zoe order 555-1234567 zoe", f"{'x' * 70} phone 777-1234567 zoe"]
+    rows = {r.doc_id: r for r in pii.find(documents(spark, texts), ["doc_id", "text"]).collect()}
+    spans = {i: [(pii.KINDS[s.kind], r.text[s.start : s.end]) for s in r.spans] for i, r in rows.items()}
+    assert spans[21] == [("phone", "555-1234567")] and spans[22] == [("email", "zoe@localhost")]
+    assert spans[24] == [("phone", "777-1234567")] and all(r.base == r.spans for i, r in rows.items() if i < 21 or i == 23)
+
+
 def test_personal_data_of_odd_rows(spark):
     more = odd(spark).unionByName(documents(spark, ["mail é x@y.zz and 10.0.0.1, +1 (017) 555-7713"], [50]))
     rows = pii.find(more, ["doc_id", "text"]).collect()
