@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm import boilerplate, bpe, media, neardup, packing, pii, quality, shards, toxicity, warc
+from folioworks.llm import boilerplate, bpe, centroids, licenses, media, neardup, packing, pii, quality, resample, shards, toxicity, warc
 from folioworks.llm.registry import query
 from folioworks.session import table
 
@@ -108,3 +108,69 @@ def pack_documents(spark: SparkSession, root: str) -> DataFrame:
     """Every piece of every document with its sequence and offset."""
     placed = packing.pack(packing.cut_pieces(table(spark, root, "documents"), WORDS, with_ids=False))
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+@query(
+    "op11_resample",
+    f"""WITH crc_table AS (SELECT list(v ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, i) AS v FROM range(256) AS r(i))),
+    d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents),
+    b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM benchmark),
+    dw AS (SELECT row, unnest(ws) AS w FROM d),
+    bw AS (SELECT unnest(ws) AS w FROM b),
+    crcs AS (SELECT w, xor(list_reduce(list_transform(range(octet_length(encode(w))), lambda i: ('0x' || hex(encode(w))[2 * i + 1 : 2 * i + 2])::BIGINT),
+                                      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % {resample.BUCKETS} AS bucket
+             FROM (SELECT w FROM dw UNION SELECT w FROM bw), crc_table),
+    s AS (SELECT bucket, count(*) AS s FROM dw JOIN crcs USING (w) GROUP BY bucket),
+    t AS (SELECT bucket, count(*) AS t FROM bw JOIN crcs USING (w) GROUP BY bucket),
+    g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + {resample.BUCKETS})::DOUBLE
+                 / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bw) + {resample.BUCKETS})::DOUBLE)))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)),
+    sums AS (SELECT row, count(*) AS n, sum(gain)::BIGINT AS total FROM dw JOIN crcs USING (w) JOIN g USING (bucket) GROUP BY row),
+    w AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0) AS weight,
+                 ('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS h FROM d LEFT JOIN sums USING (row)),
+    scored AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM w),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (n_features >= 20) OVER () AS able FROM scored)
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * able // 100 THEN r END AS rank FROM ranked""",
+)
+def resample_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Every document's weight and score, and the tenth of them drawn towards the benchmark's words."""
+    out = resample.resample(table(spark, root, "documents"), table(spark, root, "benchmark"), percent=10, least_words=20, seed=2024, runs=1, buckets=10_000)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _clusters_sql(k: int, rounds: int, seed: int, dims: int) -> str:
+    """The rounds unrolled: squared distances by inner products, exact in doubles."""
+    parts = [
+        f"""v AS (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)) AS x FROM embeddings
+            WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), vec_id) - 1 AS cluster, x AS c FROM v QUALIFY cluster < {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS (SELECT vec_id, row, any_value(x) AS x, min(struct_pack(d := d, cluster := cluster)) AS m
+            FROM (SELECT vec_id, row, x, cluster, list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS d FROM v, c{i}) GROUP BY vec_id, row)""")
+        if i < rounds:
+            means = ", ".join(f"floor(sum(x[{j}]) / count(*))" for j in range(1, dims + 1))
+            parts.append(f"m{i} AS (SELECT m.cluster AS cluster, [{means}] AS c FROM a{i} GROUP BY m.cluster)")
+            parts.append(f"c{i + 1} AS (SELECT cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))")
+    return f"""WITH {", ".join(parts)},
+    o AS (SELECT vec_id, m.cluster AS cluster, m.d::BIGINT AS distance FROM a{rounds})
+    SELECT vec_id, o.cluster, distance, sum(distance) OVER (PARTITION BY o.cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+           sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) AS centroid_sha256 FROM o JOIN c{rounds} USING (cluster)"""
+
+
+@query("op12_centroids", _clusters_sql(40, 5, 2, 64))
+def centroid_clusters(spark: SparkSession, root: str) -> DataFrame:
+    """Every vector's cluster of 40 after five rounds, its distance and the inertia."""
+    out = centroids.cluster(table(spark, root, "embeddings"), k=40, rounds=5, seed=2, dims=64)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@query("op13_licenses")
+def license_labels(spark: SparkSession, root: str) -> DataFrame:
+    """Every document's license phrases, and the labels of the templates that its text holds whole."""
+    out = licenses.scan(table(spark, root, "documents"), ["doc_id"])
+    names = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", *names, "score")
