@@ -247,6 +247,17 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return F.when(empty, 0.0).when(subset, 100.0).otherwise(F.greatest(full, prefix(full_a), prefix(full_b)))
 
 
+def token_set_may_reach(a: Column, b: Column, cutoff: float) -> Column:
+    """False only where `token_set_ratio` is under the cutoff: a bound from lengths and Levenshtein distance, in the JVM."""
+    shared, full_a, full_b, subset = token_set_parts(a, b)
+    n0 = F.length(shared)
+    share = 1 - cutoff / 100
+    rest = lambda t: F.substr(t, n0 + F.lit(1))
+    full = F.levenshtein(rest(full_a), rest(full_b)) <= share * (F.length(full_a) + F.length(full_b)) + 1e-9
+    prefix = lambda t: (n0 > 0) & (200.0 * n0 / (n0 + F.length(t)) >= cutoff - 1e-9)
+    return subset | prefix(full_a) | prefix(full_b) | full
+
+
 def cer(pred: Column, truth: Column) -> Column:
     return F.levenshtein(pred, truth) / F.greatest(F.lit(1), F.length(truth))
 

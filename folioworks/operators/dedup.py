@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 
 from folioworks import vocab
 from folioworks.functions import text as t
-from folioworks.functions.similarity import indel_ratio, token_set_ratio
+from folioworks.functions.similarity import indel_ratio, token_set_may_reach, token_set_ratio
+from folioworks.operators import simjoin
 from folioworks.operators.graph import connected_components
-from folioworks.session import cut_lineage
+from folioworks.session import cut_lineage, spread
 from folioworks.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -121,51 +122,70 @@ def near_copy_links(signatures: DataFrame, id_: str, bits: int = vocab.SIGNATURE
     return same.union(near)
 
 
-def _variants(c: Column) -> Column:
-    """The words as a set, and the set without each one word, as text keys."""
-    words = F.array_sort(F.array_distinct(F.filter(F.split(c, " +"), lambda w: w != "")))
-    less = F.transform(words, lambda w: F.array_join(F.array_remove(words, w), " "))
-    keys = F.concat(F.array(F.array_join(words, " ")), less)
-    return F.array_distinct(F.filter(keys, lambda k: k != ""))
+def _both_names(pairs: DataFrame, names: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b) with the columns of both as structs m and p."""
+    m = names.select(F.col("id").alias("a"), F.struct(*columns).alias("m"))
+    p = names.select(F.col("id").alias("b"), F.struct(*columns).alias("p"))
+    return pairs.join(m, "a").join(p, "b")
 
 
 def same_name_links(people: DataFrame, id_: str, similarity: float = vocab.NAME_SIMILARITY) -> DataFrame:
     """Records whose student names agree and whose father names agree (or one is blank).
 
-    Names are compared inside blocks of equal word sets and of word sets less one word, crossed with the same
-    for the father; records without a father share a block of their student name.
+    Equal names are linked to their smallest record. Different ones meet if they share a key of the student's
+    name, and of the father's where that is crowded; every pair over the cutoff does (see simjoin). Candidates are
+    dropped by lengths and Levenshtein distance, which never exceeds the distance the ratio is made of, before scoring.
     """
     keyed = people.select(F.col(id_).alias("id"), t.name_key(F.col("student_name")).alias("s"), t.name_key(F.col("father_name")).alias("f")).where("s <> ''")
     keyed = cut_lineage(keyed)
     copies = star_links(keyed, "id", ["s", "f"], "same names").select("a", "b")
-    reps = keyed.groupBy("s", "f").agg(F.min("id").alias("id"))
-    blocks = reps.select("id", "s", "f", F.explode(_variants(F.col("s"))).alias("ks"))
-    with_father = blocks.where("f <> ''").withColumn("kf", F.explode(_variants(F.col("f")))).select("id", "s", "f", F.xxhash64("ks", "kf").alias("bucket"))
-
-    def near(m: str, p: str) -> Column:
-        fathers = (F.col(f"{m}.f") == "") | (F.col(f"{p}.f") == "")
-        return (token_set_ratio(F.col(f"{m}.s"), F.col(f"{p}.s")) >= similarity * 100) & (
-            fathers | (token_set_ratio(F.col(f"{m}.f"), F.col(f"{p}.f")) >= similarity * 100)
-        )
-
-    paired = linked_within_buckets(with_father.distinct(), near)
-    # a record without a father links to any record of its name: blocks that hold one are compared by the student's name alone
-    orphaned = blocks.where("f = ''").select("ks").distinct()
-    loose = blocks.join(orphaned, "ks", "left_semi").select("id", "s", "f", F.xxhash64("ks").alias("bucket")).distinct()
-    return copies.union(paired).union(linked_within_buckets(loose, near)).distinct()
+    reps = cut_lineage(spread(keyed.groupBy("s", "f").agg(F.min("id").alias("id"))))
+    cut = simjoin.word_set_keys(simjoin.word_set_keys(reps, "s", similarity, "hs", "os"), "f", similarity, "hf", "of")
+    cut = cut_lineage(cut.withColumn("about", F.struct(*[simjoin.letter_bag(F.col(c), True).alias(c) for c in ("s", "f")])))
+    h = simjoin.hashed
+    # either father's name may be the one that holds
+    fathers = lambda one, two: F.when(F.col("f") != "", F.concat(h(F.col(one), 1), h(F.col(two), 2)))
+    index = cut.select("id", h(F.col("hs")).alias("first"), fathers("hf", "of").alias("second"), "about")
+    probe = cut.select("id", h(F.col("os")).alias("first"), fathers("of", "hf").alias("second"), "about")
+
+    def fits(a: Column, b: Column) -> Column:
+        blank = (a["f"]["n"] == 0) | (b["f"]["n"] == 0)
+        return simjoin.bags_may_reach(a["s"], b["s"], similarity, True) & (blank | simjoin.bags_may_reach(a["f"], b["f"], similarity, True))
+
+    pairs = _both_names(simjoin.meeting(index, probe, fits), reps, ["s", "f"])
+    no_father = (F.col("m.f") == "") | (F.col("p.f") == "")
+    cutoff = similarity * 100
+    maybe = pairs.where(token_set_may_reach(F.col("m.s"), F.col("p.s"), cutoff) & (no_father | token_set_may_reach(F.col("m.f"), F.col("p.f"), cutoff)))
+    maybe = cut_lineage(spread(maybe))
+    near = (token_set_ratio(F.col("m.s"), F.col("p.s")) >= cutoff) & (no_father | (token_set_ratio(F.col("m.f"), F.col("p.f")) >= cutoff))
+    return copies.union(maybe.where(near).select("a", "b")).distinct()
 
 
 def same_parent_links(people: DataFrame, id_: str, cutoff: float = 95.0) -> DataFrame:
-    """Records of one household: both parents' names nearly equal."""
+    """Records of one household: both parents' names nearly equal.
+
+    Names meet by a segment of the father's name, and of the mother's where that is crowded.
+    """
     keyed = people.select(F.col(id_).alias("id"), t.name_key(F.col("father_name")).alias("f"), t.name_key(F.col("mother_name")).alias("m")).where("f <> '' and m <> ''")
     keyed = cut_lineage(keyed)
     copies = star_links(keyed, "id", ["f", "m"], "same parents").select("a", "b")
-    reps = keyed.groupBy("f", "m").agg(F.min("id").alias("id"))
-    less_one = lambda c: F.concat(F.array(F.col(c)), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(F.col(c), F.lit(1), i - 1), F.substr(F.col(c), i + 1))))
-    members = reps.select("id", "f", "m", F.explode(F.array_distinct(less_one("f"))).alias("kf")).select("id", "f", "m", "kf", F.explode(F.array_distinct(less_one("m"))).alias("km"))
-    members = members.select("id", "f", "m", F.xxhash64("kf", "km").alias("bucket")).distinct()
-    near = lambda a, b: (indel_ratio(F.col(f"{a}.f"), F.col(f"{b}.f")) >= cutoff) & (indel_ratio(F.col(f"{a}.m"), F.col(f"{b}.m")) >= cutoff)
-    return copies.union(linked_within_buckets(members, near)).distinct()
+    reps = cut_lineage(spread(keyed.groupBy("f", "m").agg(F.min("id").alias("id"))))
+    cut = simjoin.segment_keys(simjoin.segment_keys(reps, "f", cutoff / 100, "hf", "of"), "m", cutoff / 100, "hm", "om")
+    cut = cut_lineage(cut.withColumn("about", F.struct(*[simjoin.letter_bag(F.col(c), False).alias(c) for c in ("f", "m")])))
+    h = simjoin.hashed
+    # the shorter father's name holds the segments; either mother's name may be the shorter one
+    index = cut.select("id", h(F.col("hf")).alias("first"), F.concat(h(F.col("hm"), 1), h(F.col("om"), 2)).alias("second"), "about")
+    probe = cut.select("id", h(F.col("of")).alias("first"), F.concat(h(F.col("om"), 1), h(F.col("hm"), 2)).alias("second"), "about")
+    fits = lambda a, b: simjoin.bags_may_reach(a["f"], b["f"], cutoff / 100, False) & simjoin.bags_may_reach(a["m"], b["m"], cutoff / 100, False)
+    pairs = _both_names(simjoin.meeting(index, probe, fits), reps, ["f", "m"])
+
+    def may(x: str) -> Column:
+        a, b = F.col(f"m.{x}"), F.col(f"p.{x}")
+        return F.levenshtein(a, b) <= (1 - cutoff / 100) * (F.length(a) + F.length(b)) + 1e-9
+
+    maybe = cut_lineage(spread(pairs.where(may("f") & may("m"))))
+    near = (indel_ratio(F.col("m.f"), F.col("p.f")) >= cutoff) & (indel_ratio(F.col("m.m"), F.col("p.m")) >= cutoff)
+    return copies.union(maybe.where(near).select("a", "b")).distinct()
 
 
 def entity_links(records: DataFrame, numbers: DataFrame | None = None, signatures: DataFrame | None = None, id_: str = "file") -> DataFrame:

@@ -17,12 +17,11 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", nodes
     """
     links = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
     links = cut_lineage(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    ends = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).distinct()
-    labels = cut_lineage(ends.withColumn("component", F.col("node")))
+    labels = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).distinct().withColumn("component", F.col("node"))
+    rounds = []
     while not links.isEmpty():
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hook = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        hook = cut_lineage(hook)
         while True:  # follow the hooks to their ends; every pass doubles the distance covered
             step = hook
             for _ in range(2):
@@ -40,10 +39,11 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", nodes
         links = cut_lineage(
             moved.where("p <> q").select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct()
         )
+        rounds.append(hook)
+    for hook in rounds:  # as many as the rounds took, which is a logarithm of the longest chain
         relabel = hook.select(F.col("u").alias("component"), F.col("m").alias("_to"))
-        labels = cut_lineage(
-            labels.join(relabel, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
-        )
+        labels = labels.join(relabel, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    labels = cut_lineage(labels)
     if nodes is None:
         return labels
     return nodes.select(F.col(nodes.columns[0]).alias("node")).distinct().join(labels, "node", "left").select(
