@@ -1,11 +1,13 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
 from folioworks import schemas
 from folioworks.operators import layout, tables
-from folioworks.sources import logs, records
-from folioworks.streaming.uploads import read_page_stream, run_extraction
+from folioworks.operators.assemble import extract_certificates
+from folioworks.sources import derived, logs, records
+from folioworks.streaming.uploads import UPLOAD, read_page_stream, run_extraction
 
 
 def page(spark, cells, width=1000, height=800):
@@ -42,17 +44,58 @@ def test_open_school_table(spark):
     assert tables.plausible_pages(out, False).count() == 1
 
 
-def test_stream_reads_each_page_once(spark, tmp_path):
-    src = tmp_path / "in"
-    src.mkdir()
-    one = {"file": "a", "page": 1, "width": 10, "height": 10, "rotation": 0, "lines": [{"id": 1, "text": "x y", "bbox": [0, 0, 5, 5], "confidence": 0.9}],
-           "words": [{"id": 1, "line_id": 1, "text": "x", "bbox": [0, 0, 2, 5], "confidence": 0.9}]}
-    (src / "1.json").write_text(json.dumps(one) + "\n")
-    (src / "2.json").write_text(json.dumps(one) + "\n" + json.dumps(one | {"file": "b"}) + "\n")
-    q = run_extraction(read_page_stream(spark, str(src)), str(tmp_path / "out"), str(tmp_path / "cp"), lambda lines, words, pages: {"lines": lines}, ("lines",))
-    q.awaitTermination(60)
+def put(folder, name, pages):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("".join(json.dumps(p) + "\n" for p in pages))
+
+
+def stream(spark, tmp_path, extract, tables):
+    q = run_extraction(read_page_stream(spark, str(tmp_path / "in"), "1 hour", 1), str(tmp_path / "out"), str(tmp_path / "cp"), extract, tables)
+    ended = q.awaitTermination(120)
+    q.stop()
+    assert ended and q.exception() is None
+
+
+def test_stream_holds_pages_until_a_file_is_complete(spark, tmp_path):
+    page_of = lambda file, page, n: {"file": file, "page": page, "n_pages": n, "width": 10, "height": 10, "rotation": 0, "lines": [{"id": 1, "text": "x y", "bbox": [0, 0, 5, 5], "confidence": 0.9}], "words": []}
+    batches = [[page_of("a", 2, 2), page_of("b", 1, 1), page_of("b", 1, 1)], [page_of("a", 2, 2), page_of("c", 1, 2)], [page_of("a", 1, 2), page_of("d", 1, None)], [page_of("b", 1, 1), page_of("a", 1, 2)]]
+    for i, pages in enumerate(batches):
+        put(tmp_path / "in", f"{i}.json", pages)
+        stream(spark, tmp_path, lambda lines, words, pages: {"lines": lines}, ("lines",))
     got = spark.read.parquet(str(tmp_path / "out" / "lines"))
-    assert sorted(r["file"] for r in got.collect()) == ["a", "b"]
+    assert sorted((r["file"], r["page"]) for r in got.collect()) == [("a", 1), ("a", 2), ("b", 1)]
+    assert got.where("file = 'a'").select("batch").distinct().count() == 1  # both pages in one batch, though they came in two
+
+
+def test_stream_gives_up_on_a_file_in_time(spark, tmp_path):
+    page_of = lambda file: {"file": file, "page": 1, "n_pages": 2, "width": 10, "height": 10, "rotation": 0, "lines": [{"id": 1, "text": "x", "bbox": [0, 0, 5, 5], "confidence": 0.9}], "words": []}
+    for i, name in enumerate("ab"):
+        put(tmp_path / "in", f"{i}.json", [page_of(name)])
+        os.utime(tmp_path / "in" / f"{i}.json", (1_700_000_000 + 9000 * i,) * 2)  # the second comes two and a half hours later
+        stream(spark, tmp_path, lambda lines, words, pages: {"lines": lines}, ("lines",))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "incomplete")).select("file", "pages_read").collect()] == [("a", 1)]
+
+
+def test_stream_equals_the_batch_extraction(spark, tmp_path):
+    lines = derived.certificate_lines(spark, "/root/testdata/sf0.001")
+    two = [r.file for r in lines.select("file").distinct().orderBy("file").limit(2).collect()]
+    lines = lines.where(F.col("file").isin(two)).withColumn("page", F.when(F.col("line_id") < 20, 1).otherwise(2)).persist()  # the table on a page of its own
+    words, sizes = derived.lines_to_words(lines), derived.certificate_pages(lines)
+    box = F.array("x0", "y0", "x1", "y1").alias("bbox")
+    l = lines.groupBy("file", "page").agg(F.collect_list(F.struct(F.col("line_id").alias("id"), "text", box, F.col("conf").alias("confidence"))).alias("lines"))
+    w = words.groupBy("file", "page").agg(F.collect_list(F.struct(F.col("word_id").alias("id"), "line_id", "text", box, F.col("conf").alias("confidence"))).alias("words"))
+    n = lines.groupBy("file").agg(F.max("page").alias("n_pages"))
+    pages = [json.loads(r[0]) for r in l.join(w, ["file", "page"]).join(sizes.drop("role"), ["file", "page"]).join(n, "file").withColumn("rotation", F.lit(0)).select(F.to_json(F.struct("*"))).collect()]
+    assert len(pages) == lines.select("file", "page").distinct().count() == 4
+    put(tmp_path / "in", "0.json", [p for p in pages if p["page"] == 1])
+    put(tmp_path / "in", "1.json", pages)  # the rest, and the first pages again
+    tables = ("values", "subjects", "documents")
+    stream(spark, tmp_path, extract_certificates, tables)
+    whole = spark.createDataFrame(pages, UPLOAD)
+    batch = extract_certificates(records.page_lines(whole), records.page_words(whole), records.page_sizes(whole))
+    for t in tables:
+        got = spark.read.parquet(str(tmp_path / "out" / t)).select(*batch[t].columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, batch[t].collect())), t
 
 
 def test_sources_and_logs(spark, tmp_path):
