@@ -20,8 +20,8 @@ def word_probabilities(scores: DataFrame) -> DataFrame:
 
 def best_labels(probabilities: DataFrame) -> DataFrame:
     """The likeliest label of each word; the smaller label name wins an exact tie."""
-    by_name = F.struct("p", -F.ascii("label"), F.col("label"))
-    return probabilities.groupBy(*_WORD).agg(F.max_by(F.struct("label", "p"), by_name).alias("b")).select(*_WORD, "b.label", "b.p")
+    best = F.min(F.struct((-F.col("p")).alias("_n"), "label", "p")).alias("b")
+    return probabilities.groupBy(*_WORD).agg(best).select(*_WORD, "b.label", "b.p")
 
 
 def decode_spans(words: DataFrame, labels: DataFrame) -> DataFrame:

@@ -51,9 +51,17 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", nodes
     )
 
 
-def household_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Components over same-entity and same-household links together: the units a split must keep whole."""
-    return connected_components(edges, "a", "b", nodes)
+def household_components(person_links: DataFrame, home_links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, person, household): components of the links of one person, and of those persons by the links of one home.
+
+    The second labelling runs on the graph whose vertices are the persons of the first, so its size is that of the home
+    links between different persons. Both labels are the smallest node. A split has to keep whole households.
+    """
+    person = cut_lineage(connected_components(person_links, "a", "b", nodes))
+    of = lambda side: person.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+    between = home_links.select("a", "b").join(of("a"), "a").join(of("b"), "b").where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    home = connected_components(between, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("_home"))
+    return person.join(home, "component", "left").select("node", F.col("component").alias("person"), F.coalesce("_home", "component").alias("household"))
 
 
 def group_sizes(components: DataFrame) -> DataFrame:

@@ -144,3 +144,44 @@ def split_summary(spark: SparkSession, root: str) -> DataFrame:
     assigned, docs, _ = split_documents(spark, root)
     leaks = split.split_leaks(assigned, docs, "doc_id").count()
     return assigned.groupBy("partition").agg(F.count("*").alias("documents")).withColumn("leaks", F.lit(leaks))
+
+
+def households(spark: SparkSession, root: str) -> DataFrame:
+    """Documents with the person (equal texts) and the household (texts of one length) that they belong to."""
+    d = table(spark, root, "documents").where("text IS NOT NULL").select("doc_id", "n_chars", F.sha2("text", 256).alias("sha256"))
+    same, home = dedup.star_links(d, "doc_id", ["sha256"], "identical file bytes"), dedup.star_links(d, "doc_id", ["n_chars"], "equal length")
+    return graph.household_components(same, home, d.select("doc_id"))
+
+
+@query(
+    "household_components",
+    """SELECT doc_id AS node, min(doc_id) OVER (PARTITION BY md5(text)) AS person, min(doc_id) OVER (PARTITION BY n_chars) AS household FROM documents WHERE text IS NOT NULL""",
+)
+def household_components(spark: SparkSession, root: str) -> DataFrame:
+    return households(spark, root)
+
+
+@query(
+    "household_split_report",
+    """WITH d AS (SELECT doc_id, n_chars, md5(text) AS h FROM documents WHERE text IS NOT NULL), k AS (SELECT * FROM d WHERE doc_id % 10 <> 9), n AS (SELECT count(*) AS n, count(*) // 10 AS t FROM k)
+       SELECT 'train' AS item, n - 2 * t AS n FROM n UNION ALL SELECT 'validation', t FROM n UNION ALL SELECT 'test', t FROM n
+       UNION ALL SELECT 'persons in several partitions', 0 UNION ALL SELECT 'households in several partitions', 0
+       UNION ALL SELECT 'households with several members in a partition', (SELECT count(*) FROM (SELECT n_chars FROM k GROUP BY n_chars HAVING count(*) > 1))
+       UNION ALL SELECT 'left-out documents linked to a partition', (SELECT count(*) FROM d WHERE doc_id % 10 = 9 AND n_chars IN (SELECT n_chars FROM k))""",
+)
+def household_split_report(spark: SparkSession, root: str) -> DataFrame:
+    """A split that keeps households whole, one document in ten left out of it, and what a leak report says of it."""
+    groups = cut_lineage(households(spark, root).withColumnRenamed("node", "doc_id"))
+    kept, left_out = groups.where("doc_id % 10 <> 9"), groups.where("doc_id % 10 = 9")
+    docs = cut_lineage(kept.join(table(spark, root, "documents").select("doc_id", F.col("lang").alias("stratum")), "doc_id"))
+    n = docs.count()
+    assigned = cut_lineage(split.group_split(docs.withColumnRenamed("household", "group"), {"train": n - 2 * (n // 10), "validation": n // 10, "test": n // 10}, id_="doc_id"))
+    one = lambda item, df: df.agg(F.count("*").alias("n")).select(F.lit(item).alias("item"), "n")
+    parts = [
+        assigned.groupBy(F.col("partition").alias("item")).agg(F.count("*").alias("n")),
+        one("persons in several partitions", split.split_leaks(assigned, groups, "doc_id", "person")),
+        one("households in several partitions", split.split_leaks(assigned, groups, "doc_id", "household")),
+        one("households with several members in a partition", split.within_partition_groups(assigned.select("doc_id", "partition"), groups, "doc_id", "household")),
+        one("left-out documents linked to a partition", split.excluded_links(left_out, assigned.select("doc_id", "partition"), groups, "doc_id", "household")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])

@@ -11,7 +11,7 @@ from folioworks.functions import text as t
 from folioworks.operators import review, rules, truth
 from folioworks.operators.standardize import mask_columns, standardize
 from folioworks.plans.registry import query
-from folioworks.session import table
+from folioworks.session import cut_lineage, table
 
 _LINE_TOTAL = "cast(round(l_extendedprice * (1 - l_discount) * (1 + l_tax) * 100) as bigint)"
 
@@ -236,16 +236,27 @@ def override_merge(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "linked_record_conflicts",
-    """WITH l AS (SELECT doc_id, md5(text) AS h, lang, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS source FROM documents WHERE text IS NOT NULL),
-    v AS (SELECT doc_id, h, 'source' AS field, source AS value FROM l UNION ALL SELECT doc_id, h, 'lang', lang FROM l),
-    f AS (SELECT h, field, min(doc_id) AS a, arg_min(value, doc_id) AS first FROM v WHERE value <> '' GROUP BY 1, 2)
-    SELECT a AS doc_id, v.field, 'error' AS severity, first AS truth_value, CAST(v.doc_id AS VARCHAR) || ' has ' || value AS detail
-    FROM v JOIN f ON v.h = f.h AND v.field = f.field WHERE value <> '' AND value <> first""",
+    """WITH l AS (SELECT doc_id, md5(text) AS h, n_chars, lang, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS source FROM documents WHERE text IS NOT NULL),
+    g AS (SELECT *, count(*) OVER (PARTITION BY h) > 1 AS copied FROM l QUALIFY count(*) OVER (PARTITION BY n_chars) > 1),
+    v AS (SELECT doc_id, h, n_chars, copied, 'source' AS field, source AS value FROM g UNION ALL SELECT doc_id, h, n_chars, copied, 'lang', lang FROM g),
+    w AS (SELECT * FROM v WHERE value <> ''),
+    inner_first AS (SELECT h, field, min(doc_id) AS a, arg_min(value, doc_id) AS first FROM w WHERE copied GROUP BY 1, 2),
+    outer_first AS (SELECT n_chars, field, min(doc_id) AS a, arg_min(value, doc_id) AS first, arg_min(h, doc_id) AS first_h FROM w GROUP BY 1, 2)
+    SELECT a AS doc_id, w.field, 'error' AS severity, first AS truth_value, CAST(w.doc_id AS VARCHAR) || ' has ' || value AS detail
+    FROM w JOIN inner_first f ON w.h = f.h AND w.field = f.field WHERE copied AND value <> first
+    UNION ALL
+    SELECT a, w.field, 'warning', first, CAST(w.doc_id AS VARCHAR) || ' has ' || value
+    FROM w JOIN outer_first f ON w.n_chars = f.n_chars AND w.field = f.field WHERE value <> first AND w.h <> first_h""",
 )
 def linked_record_conflicts(spark: SparkSession, root: str) -> DataFrame:
-    """Copies whose language or source differs; one record in three has no source, often the one that all links meet in."""
-    pairs = exact_dup_groups(spark, root).withColumn("same_bytes", F.lit(True))
-    d = table(spark, root, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("source"))
+    """Texts of one length are linked, copies by their bytes too: source or language that differ inside a group, or between
+    copies. One record in three has no source, often the one that all links meet in."""
+    from folioworks.operators.dedup import star_links
+
+    d = table(spark, root, "documents").where("text IS NOT NULL")
+    equal = exact_dup_groups(spark, root).withColumn("same_bytes", F.lit(True))
+    pairs = cut_lineage(equal.unionByName(star_links(d, "doc_id", ["n_chars"], "equal length").withColumn("same_bytes", F.lit(False))))
+    d = d.select("doc_id", "lang", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("source"))
     return truth.conflicts(pairs, d, ["lang", "source"], "doc_id").select("doc_id", "field", "severity", "truth_value", "detail")
 
 

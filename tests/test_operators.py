@@ -208,6 +208,21 @@ def test_conflicts_are_not_hidden_by_a_blank_hub(spark):
     assert got == [(2, "name", "warning", "X", "3 has Y")]
 
 
+def test_conflicts_at_two_levels(spark):
+    pairs = spark.createDataFrame([(1, 2, False), (1, 3, False), (2, 3, True), (4, 5, True), (3, 4, False)], "a long, b long, same_bytes boolean")
+    df = spark.createDataFrame([(1, "X"), (2, "Y"), (3, "Z"), (4, "X"), (5, "W")], "id long, name string")
+    got = sorted(tuple(r) for r in truth.conflicts(pairs, df, ["name"], "id").select("id", "severity", "truth_value", "detail").collect())
+    assert got == [(1, "warning", "X", "2 has Y"), (1, "warning", "X", "3 has Z"), (1, "warning", "X", "5 has W"), (2, "error", "Y", "3 has Z"), (4, "error", "X", "5 has W")]
+
+
+def test_households_are_components_of_persons(spark):
+    person = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "a long, b long")
+    home = spark.createDataFrame([(3, 6), (1, 3), (8, 9), (6, 3)], "a long, b long")
+    nodes = spark.createDataFrame([(i,) for i in range(1, 11)], "id long")
+    got = {r.node: (r.person, r.household) for r in graph.household_components(person, home, nodes).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (4, 4), 5: (5, 1), 6: (5, 1), 7: (7, 7), 8: (8, 8), 9: (9, 8), 10: (10, 10)}
+
+
 def test_other_nationalities_stay(spark):
     from folioworks.operators.identity import clean_value
 
