@@ -235,18 +235,72 @@ def _key(s: str) -> str:
     return "".join(ch for ch in s.upper() if ch.isascii() and ch.isalnum())
 
 
-def labelled_values(lines: DataFrame, cutoff: float = 82.0) -> DataFrame:
-    """(file, key, text, conf): the value printed under each travel-document label, in its column and above the next
-    label, so an empty field stays empty."""
+def _in_column() -> Column:
+    c = F.col
+    return (c("x0") >= c("a_x0") - 2.5 * c("a_h")) & (c("x0") <= F.greatest(c("a_x1"), c("a_x0") + 4 * c("a_h"))) & (c("line_id") != c("a_line_id"))
+
+
+def nearest_above(anchors: DataFrame, lines: DataFrame) -> DataFrame:
+    """`anchors` with v, the value line that ends right above each, in its column, with no boundary line between.
+
+    The last boundary above and the last value above are two maxima of one pass; a value above the boundary is none.
+    """
+    c = F.col
+    near = anchors.join(lines.select("file", "page", "line_id", "text", "conf", "x0", "y0", "x1", "y1", "h", "boundary"), ["file", "page"]).where(_in_column() & (c("y0") < c("a_y0")))
+    fits = ~c("boundary") & c("y1").between(c("a_y0") - 2.5 * c("a_h"), c("a_y0") + 0.4 * c("a_h"))
+    found = near.groupBy(*anchors.columns).agg(
+        F.max_by(F.struct("line_id", "text", "conf", "x0", "y0", "x1", "h"), F.when(fits, F.struct("y0", -c("line_id")))).alias("v"), F.max(F.when(c("boundary"), c("y0"))).alias("_bar")
+    )
+    return found.where(c("v").isNotNull() & (c("_bar").isNull() | (c("v.y0") >= c("_bar")))).drop("_bar")
+
+
+def _unlabelled_values(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """Values whose own label was not read: parents' names and addresses right above the next label, numbers by their form.
+
+    `lines` has label, boundary and h; `found` is (file, key, text, conf) of the labels that were read.
+    """
+    c = F.col
+    shown = lines.where("label IS NOT NULL").select("file", c("label").alias("key")).union(found.select("file", "key")).distinct()
+    anchor = [c("line_id").alias("a_line_id"), c("x0").alias("a_x0"), c("y0").alias("a_y0"), c("x1").alias("a_x1"), c("h").alias("a_h")]
+    before = t.literal_map({"mother_name": "father_name", "spouse_name": "mother_name"})
+    labels = lines.where(c("label").isin("mother_name", "spouse_name")).select("file", "page", F.try_element_at(before, c("label")).alias("key"), c("label").alias("next"), *anchor)
+    up = nearest_above(labels.join(shown, ["file", "key"], "left_anti"), lines)
+    taken = found.select("file", c("key").alias("next"), c("text").alias("_text"))
+    up = up.join(taken, ["file", "next"], "left").where(~c("v.text").eqNullSafe(c("_text")))
+    parents = up.groupBy("file", "key").agg(F.min_by("v", F.struct("page", "a_line_id")).alias("v")).select("file", "key", c("v.text").alias("text"), c("v.conf").alias("conf"))
+    used = found.unionByName(parents).groupBy("file").agg(F.collect_set("text").alias("_used"))  # as many as there are labels
+    ends = lines.where(c("label").isin("old_passport", "file_number")).select("file", "page", c("line_id").alias("from"), *anchor)
+    step, blocks = ends.join(shown.where("key = 'address'"), "file", "left_anti"), []
+    for i in range(5):
+        step = cut_lineage(nearest_above(step, lines).join(used, "file", "left").where(~F.array_contains(F.coalesce("_used", F.array().cast("array<string>")), c("v.text"))).drop("_used"))
+        blocks.append(step.select("file", "page", "from", F.lit(-i).alias("i"), c("v.text").alias("text"), c("v.conf").alias("conf")))
+        if step.isEmpty():
+            break
+        step = step.select("file", "page", "from", c("v.line_id").alias("a_line_id"), *[c(f"v.{x}").alias(f"a_{x}") for x in ("x0", "y0", "x1", "h")])
+    block = reduce(DataFrame.union, blocks).groupBy("file", "page", "from").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("l"), F.min("conf").alias("conf"))  # five lines at most
+    address = block.groupBy("file").agg(F.min_by(F.struct(F.array_join("l.text", ", ").alias("text"), "conf"), F.struct("page", "from")).alias("b")).select("file", F.lit("address").alias("key"), "b.text", "b.conf")
+    form = F.replace(F.upper("text"), F.lit(" "), F.lit("")).rlike(r"\b([A-Z][0-9OILSBZ]{7}|[A-Z]{2}[0-9OILSBZ]{6})\b")
+    numbers = lines.where(c("label").isNull() & form & (F.length(t.alnum_key(c("text"))) <= 10) & ~c("text").contains("<<")).join(found.where("key = 'passport_number'"), "file", "left_anti")
+    number = numbers.groupBy("file").agg(F.min_by(F.struct("text", "conf"), F.struct("page", "line_id")).alias("b")).select("file", F.lit("passport_number").alias("key"), "b.text", "b.conf")
+    return parents.unionByName(address).unionByName(number)
+
+
+def labelled_lines(lines: DataFrame, cutoff: float = 82.0) -> DataFrame:
+    """Lines with the travel-document label they show, whether they bound a value, and their height."""
     flat = [(k, p) for k, ps in vocab.TRAVEL_LABELS.items() for p in ps]
     l = cut_lineage(_label_scores(lines, flat, cutoff))
     code = ((F.length("text") - F.length(F.replace("text", F.lit("<"), F.lit("")))) >= 3) & (F.length(F.replace("text", F.lit(" "), F.lit(""))) >= 30)
-    l = l.withColumn("boundary", F.col("label").isNotNull() | (F.col("label_score") >= 70) | code).withColumn("h", F.greatest(F.lit(1), F.col("y1") - F.col("y0")).cast("double"))
+    return l.withColumn("boundary", F.col("label").isNotNull() | (F.col("label_score") >= 70) | code).withColumn("h", F.greatest(F.lit(1), F.col("y1") - F.col("y0")).cast("double"))
+
+
+def labelled_values(lines: DataFrame, cutoff: float = 82.0) -> DataFrame:
+    """(file, key, text, conf): the value printed under each travel-document label, in its column and above the next
+    label, so an empty field stays empty; where a label could not be read, the value right above the next one."""
+    l = cut_lineage(labelled_lines(lines, cutoff))
     a = l.where("label is not null").select("file", "page", F.col("label").alias("key"), "label_score", *[F.col(c).alias(f"a_{c}") for c in ("line_id", "x0", "y0", "x1", "y1", "h")])
     c = F.col
-    column = (c("x0") >= c("a_x0") - 2.5 * c("a_h")) & (c("x0") <= F.greatest(c("a_x1"), c("a_x0") + 4 * c("a_h"))) & (c("line_id") != c("a_line_id"))
     id_ = ["file", "page", "key", "a_line_id"]
-    near = a.join(l.select("file", "page", "line_id", "text", "x0", "y0", "x1", "y1", "conf", "boundary"), ["file", "page"]).where(column)
+    near = a.join(l.select("file", "page", "line_id", "text", "x0", "y0", "x1", "y1", "conf", "boundary"), ["file", "page"]).where(_in_column())
     stop = near.where(c("boundary") & (c("y0") > c("a_y0") + 0.5 * c("a_h"))).groupBy(*id_).agg(F.min("y0").alias("stop"))
     vals = near.where(
         ~c("boundary") & ((c("y0") + c("y1")) / 2 > (c("a_y0") + c("a_y1")) / 2 + 0.3 * c("a_h")) & (c("y0") <= c("a_y1") + 1.5 * c("a_h"))
@@ -264,7 +318,8 @@ def labelled_values(lines: DataFrame, cutoff: float = 82.0) -> DataFrame:
     block = more.where("_g = 0 and _k <= 5").groupBy("file").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "text"))), lambda s: s["text"]), ", ").alias("text"), F.min("conf").alias("conf")
     ).select("file", F.lit("address").alias("key"), "text", "conf")
-    return plain.unionByName(block)
+    found = cut_lineage(plain.unionByName(block))
+    return found.unionByName(_unlabelled_values(l, found))
 
 
 def common_letters(text: Column, word: str) -> Column:
@@ -308,6 +363,21 @@ def remaining_date(known: Column, seen: Column) -> Column:
     return F.when(F.size(between) == 1, between[0])
 
 
+def with_remaining_date(printed: DataFrame, lines: DataFrame, parsed: DataFrame) -> DataFrame:
+    """`printed` with a date of issue where none was read: the one printed date between birth and expiry.
+
+    `lines` are those of `labelled_lines`; birth and expiry are taken as printed and from the code lines.
+    """
+    dated = printed.where("key IN ('date_of_birth', 'date_of_expiry')").select("file", dates.parse_strict_date(F.col("text")).alias("d"))
+    coded = parsed.select("file", F.explode(F.array(*[F.col(k).try_cast("date") for k in ("date_of_birth", "date_of_expiry")])).alias("d"))
+    known = dated.union(coded).where("d IS NOT NULL").groupBy("file").agg(F.collect_set("d").alias("known"))  # four at most
+    seen = lines.where("NOT boundary").select("file", "conf", dates.parse_strict_date(F.col("text")).alias("d")).where("d IS NOT NULL")
+    between = seen.join(known, "file").where((F.col("d") > F.array_min("known")) & (F.col("d") < F.array_max("known")))
+    other = between.groupBy("file").agg(F.array_distinct(F.concat(F.array(F.min("d")), F.array(F.max("d")))).alias("seen"), F.first("known").alias("known"), F.min("conf").alias("conf"))
+    left = other.withColumn("d", remaining_date(F.col("known"), F.col("seen"))).where("d IS NOT NULL").join(printed.where("key = 'date_of_issue'"), "file", "left_anti")
+    return printed.unionByName(left.select("file", F.lit("date_of_issue").alias("key"), F.date_format("d", "dd/MM/yyyy").alias("text"), "conf"))
+
+
 def reconcile_codes(printed: DataFrame, parsed: DataFrame) -> DataFrame:
     """One value per document and field: a verified code value wins, else the printed one; disagreement is flagged.
 
@@ -334,27 +404,48 @@ def reconcile_codes(printed: DataFrame, parsed: DataFrame) -> DataFrame:
         .when(~sure & has_seen & has_code & ~F.col("_same"), "code line differs and is not confirmed by its check digits")
         .when(~sure & has_seen & ~has_code & (F.col("conf") < 0.8), "low reading confidence").when(~sure & ~has_seen & has_code, "code-line check digit failed")
     )
-    return x.select(
+    out = x.select(
         "file", "field", F.when(sure, F.col("code")).when(has_seen, F.col("seen")).when(has_code, F.col("code")).otherwise("").alias("value"),
         F.when(sure, "mrz").when(has_seen, "printed text").when(has_code, "mrz").otherwise("not found").alias("source"),
         F.when(sure, 1.0).when(has_seen, F.col("conf")).alias("confidence"), F.when(sure, F.col("field").isin(protected) | agrees).otherwise(False).alias("verified"), flag.alias("flag"),
     )
+    return _checked_file_number(out, parsed)
+
+
+def _checked_file_number(values: DataFrame, parsed: DataFrame) -> DataFrame:
+    """The file number held against the optional data of the code lines: a match verifies it and takes its flag back, a near
+    miss flags it."""
+    extra = parsed.select("file", t.alnum_key(F.col("personal_number")).alias("_extra")).where("length(_extra) >= 8")
+    x = values.join(extra, "file", "left")
+    own = F.when(F.col("field") == "file_number", t.alnum_key(F.col("value")))
+    held = F.coalesce((own != "") & own.endswith(F.col("_extra")), F.lit(False))
+    tail = F.when(own != "", F.right(own, F.length("_extra")))
+    near = F.coalesce(~held & (indel_ratio(tail, F.when(tail.isNotNull(), F.col("_extra"))) >= 80), F.lit(False))
+    return x.select(
+        "file", "field", "value", F.when(held, "printed text + code lines").otherwise(F.col("source")).alias("source"), "confidence", (held | F.col("verified")).alias("verified"),
+        F.when(held, F.lit(None)).when(near, "file number differs from the code lines").otherwise(F.col("flag")).alias("flag"),
+    )
 
 
 def travel_flags(values: DataFrame, today: str) -> DataFrame:
-    """Flags of reconciled values plus date rules and missing required fields: (file, field, reason)."""
-    own = values.where("flag is not null").select("file", "field", F.col("flag").alias("reason"))
-    missing = values.where(F.col("field").isin(vocab.TRAVEL_REQUIRED) & (F.col("value") == "")).select("file", "field", F.lit("not found - enter manually").alias("reason"))
+    """One flag per document and field: (file, field, reason).
+
+    Rules have precedence: a date rule replaces what was flagged before; that a document has expired, or that a required
+    field was not found, is only said where nothing else is.
+    """
+    own = values.where("flag is not null").select("file", "field", F.col("flag").alias("reason"), F.lit(1).alias("rank"))
+    missing = values.where(F.col("field").isin(vocab.TRAVEL_REQUIRED) & (F.col("value") == "")).select("file", "field", F.lit("not found - enter manually").alias("reason"), F.lit(3).alias("rank"))
     pick = lambda k: F.max(F.when(F.col("field") == k, F.col("value"))).try_cast("date")
     d = values.groupBy("file").agg(pick("date_of_birth").alias("b"), pick("date_of_issue").alias("i"), pick("date_of_expiry").alias("e"))
     years = F.datediff("e", "i") / 365.25
+    rule = lambda broken, field, reason, rank: F.when(broken, F.struct(F.lit(field).alias("field"), F.lit(reason).alias("reason"), F.lit(rank).alias("rank")))
     rules = F.array(
-        F.when(F.col("i") <= F.col("b"), F.struct(F.lit("date_of_issue").alias("field"), F.lit("issue is not after birth").alias("reason"))),
-        F.when((F.col("e") <= F.col("i")) | ~years.between(4.5, 10.1), F.struct(F.lit("date_of_expiry").alias("field"), F.lit("expiry is not five or ten years after issue").alias("reason"))),
-        F.when(F.col("e") < F.lit(today).cast("date"), F.struct(F.lit("date_of_expiry").alias("field"), F.lit("document has expired").alias("reason"))),
+        rule(F.col("i") <= F.col("b"), "date_of_issue", "issue is not after birth", 0),
+        rule((F.col("e") <= F.col("i")) | ~years.between(4.5, 10.1), "date_of_expiry", "expiry is not five or ten years after issue", 0),
+        rule(F.col("e") < F.lit(today).cast("date"), "date_of_expiry", "document has expired", 2),
     )
-    dated = d.select("file", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r")).select("file", "r.field", "r.reason")
-    return reduce(DataFrame.unionByName, [own, missing, dated]).groupBy("file", "field").agg(F.min("reason").alias("reason"))
+    dated = d.select("file", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r")).select("file", "r.field", "r.reason", "r.rank")
+    return reduce(DataFrame.unionByName, [own, missing, dated]).groupBy("file", "field").agg(F.min_by("reason", "rank").alias("reason"))
 
 
 # ---- school memo -----------------------------------------------------------------------------

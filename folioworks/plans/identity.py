@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioworks import vocab
 from folioworks.functions.checkdigits import verhoeff_digit, weighted_check_digit
-from folioworks.operators import identity
+from folioworks.operators import identity, review
 from folioworks.plans.registry import query
 from folioworks.session import cut_lineage, table
 from folioworks.sources.derived import letters
@@ -33,15 +33,16 @@ def holders(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def code_documents(spark: SparkSession, root: str) -> DataFrame:
+def code_documents(spark: SparkSession, root: str, optional: Column | None = None) -> DataFrame:
     """Two code lines per holder among other lines, second line first; the first zero read as O for one in five, a wrong digit for another."""
     h = holders(spark, root)
+    optional = F.lit("77") if optional is None else optional
     cd = weighted_check_digit
     pad = lambda c, n: F.rpad(c, n, "<")
     l1 = pad(F.concat(F.lit("P<IND"), "surname", F.lit("<<"), "given"), 44)
     num = pad(F.col("number"), 9)
     b, e = F.date_format("born", "yyMMdd"), F.date_format("ends", "yyMMdd")
-    opt = pad(F.lit("77"), 14)
+    opt = pad(optional, 14)
     h = h.withColumns({"n": num, "b": b, "e": e, "o": opt})
     h = h.withColumn("front", F.concat("n", cd(F.col("n")))).withColumn("mid", F.concat("b", cd(F.col("b")))).withColumn("tail", F.concat("e", cd(F.col("e")), "o", cd(F.col("o"))))
     h = h.withColumn("comp", cd(F.concat("front", "mid", "tail")))
@@ -168,6 +169,74 @@ def travel_document_fields(spark: SparkSession, root: str) -> DataFrame:
     return out.where("value <> ''").select("file", "field", "value", "verified", F.col("flag").isNotNull().alias("flagged"))
 
 
+_BROKEN = """_b AS (SELECT *, 'HY' || lpad(CAST(k AS VARCHAR), 13, '0') AS file_no, CASE WHEN k % 11 = 4 THEN make_date(CAST(year(ends) - 20 AS INT), CAST(month(ends) AS INT), 16) ELSE make_date(CAST(year(ends) - 10 AS INT), CAST(month(ends) AS INT), 16) END AS issued,
+    TRY_CAST(strftime(born, '%Y-%m-') || substr(strftime(born, '%d'), 1, 1) || CAST((day(born) % 10 + 1) % 10 AS VARCHAR) AS DATE) IS NOT NULL AS wrong_is_date FROM h)"""
+_TRAVEL_TODAY = "2030-06-01"
+
+
+def broken_documents(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Reconciled values of documents on which some labels cannot be read: the father's, the mother's or the address label on one
+    third each, the number's on a quarter, the date of issue's on all; one file number in six is misprinted in one digit."""
+    h = holders(spark, root)
+    k, f = F.col("k"), F.lit
+    d = lambda c: F.date_format(c, "dd/MM/yyyy")
+    unless = lambda gone, text: F.when(~gone, f(text)).otherwise("~")
+    issued = F.make_date(F.year("ends") - F.when(k % 11 == 4, 20).otherwise(10), F.month("ends"), f(16))
+    digits = F.lpad(k.cast("string"), 13, "0")
+    printed_number = F.concat(f("HY"), F.when(k % 6 == 5, F.concat(f("9"), F.substring(digits, 2, 12))).otherwise(digits))
+    front = [
+        (unless(k % 4 == 1, "/Passport No."), 100, 60), (F.col("number"), 100, 95), (f("/Sumame"), 100, 140), (F.col("surname"), 100, 175), (f("/Given Name(s)"), 100, 220), (F.col("given"), 100, 255),
+        (f("/Nationality"), 100, 300), (f("INDIAN"), 100, 335), (f("/Sex"), 500, 300), (f("M"), 500, 335), (f("afe/ Date of Birth"), 800, 300), (d("born"), 800, 335), (f("/Date of Expiry"), 800, 400), (d("ends"), 800, 435), (d(issued), 1300, 520),
+    ]
+    back = [
+        (unless(k % 3 == 0, "/Name of Father / Legal Guardian"), 100, 100), (F.concat(f("RAM "), "surname"), 100, 135), (unless(k % 3 == 1, "/Name of Mother"), 100, 175), (F.concat(f("SITA "), "surname"), 100, 210), (f("/Name of Spouse"), 100, 250),
+        (unless(k % 3 == 2, "/Address"), 100, 330), (f("1-2-3, MAIN R0AD"), 100, 365), (f("HYDERABAD"), 100, 420), (f("PIN:S00001,TELANGANA"), 100, 475), (f("/Old Passport No. with Date and Place of Issue"), 100, 530), (f("/File No."), 100, 600),
+        (printed_number, 100, 635),
+    ]
+    lines = cut_lineage(_lines(h, front).unionByName(_lines(h, back, 2)).where("text <> '~'"))
+    codes = cut_lineage(identity.parse_code_lines(cut_lineage(identity.code_line_pairs(code_documents(spark, root, digits))), TODAY))
+    printed = identity.with_remaining_date(cut_lineage(identity.labelled_values(lines)), identity.labelled_lines(lines), codes)
+    values = cut_lineage(identity.reconcile_codes(printed, codes))
+    return values, cut_lineage(identity.travel_flags(values, _TRAVEL_TODAY))
+
+
+@query(
+    "travel_fallback_fields",
+    f"""WITH {_HOLDER}, {_BROKEN}, v AS (SELECT file, k, wrong_is_date, unnest([{{'f': 'passport_number', 'v': number}}, {{'f': 'surname', 'v': surname}}, {{'f': 'given_names', 'v': given}}, {{'f': 'nationality', 'v': 'INDIAN'}}, {{'f': 'sex', 'v': 'M'}},
+      {{'f': 'date_of_birth', 'v': strftime(born, '%Y-%m-%d')}}, {{'f': 'date_of_expiry', 'v': strftime(ends, '%Y-%m-%d')}}, {{'f': 'date_of_issue', 'v': strftime(issued, '%Y-%m-%d')}}, {{'f': 'father_name', 'v': 'RAM ' || surname}}, {{'f': 'mother_name', 'v': 'SITA ' || surname}},
+      {{'f': 'address', 'v': '1-2-3, MAIN ROAD, HYDERABAD, PIN:500001,TELANGANA'}}, {{'f': 'file_number', 'v': CASE WHEN k % 6 = 5 THEN 'HY9' || substr(file_no, 4) ELSE file_no END}}]) AS x FROM _b WHERE issued > born)
+    SELECT file, x.f AS field, x.v AS value, x.f IN ('passport_number', 'date_of_expiry') OR (k % 5 <> 2 AND x.f IN ('surname', 'given_names', 'nationality', 'sex', 'date_of_birth')) OR (x.f = 'file_number' AND k % 6 <> 5) AS verified,
+      (k % 5 = 2 AND x.f = 'date_of_birth' AND wrong_is_date) OR (x.f = 'file_number' AND k % 6 = 5) AS flagged FROM v""",
+)
+def travel_fallback_fields(spark: SparkSession, root: str) -> DataFrame:
+    """Fields of documents whose labels are partly unreadable; the file number is checked against the code lines."""
+    values, _ = broken_documents(spark, root)
+    return values.where("value <> ''").select("file", "field", "value", "verified", F.col("flag").isNotNull().alias("flagged"))
+
+
+_FLAGS_SQL = f"""{_HOLDER}, {_BROKEN}, fl AS (
+    SELECT file, 'file_number' AS field, 'file number differs from the code lines' AS reason FROM _b WHERE k % 6 = 5
+    UNION ALL SELECT file, 'date_of_birth', CASE WHEN wrong_is_date THEN 'code line differs and is not confirmed by its check digits' END FROM _b WHERE k % 5 = 2 AND wrong_is_date
+    UNION ALL SELECT file, 'date_of_expiry', CASE WHEN k % 11 = 4 THEN 'expiry is not five or ten years after issue' ELSE 'document has expired' END FROM _b WHERE k % 11 = 4 OR ends < DATE '{_TRAVEL_TODAY}')"""
+
+
+@query("travel_flags", f"WITH {_FLAGS_SQL} SELECT file, field, reason FROM fl")
+def travel_flags(spark: SparkSession, root: str) -> DataFrame:
+    """One flag per field: a wrong validity replaces what was flagged, expiry is said where nothing else is."""
+    return broken_documents(spark, root)[1]
+
+
+@query(
+    "identity_routing",
+    f"""WITH {_FLAGS_SQL} SELECT h.file, CASE WHEN bool_or(field IN ({", ".join(f"'{x}'" for x in vocab.TRAVEL_REQUIRED)})) THEN 'manual_required' WHEN count(field) > 0 THEN 'review_recommended' ELSE 'auto' END AS status
+    FROM h LEFT JOIN fl ON h.file = fl.file GROUP BY h.file""",
+)
+def identity_routing(spark: SparkSession, root: str) -> DataFrame:
+    """Every document's route by its flags: by hand where a required field is flagged."""
+    values, flags = broken_documents(spark, root)
+    return review.route_identity(flags, values, vocab.TRAVEL_REQUIRED)
+
+
 @query(
     "nationality_values",
     """SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'INDIAN' WHEN 1 THEN 'INDIAN' WHEN 2 THEN 'ITALIAN' WHEN 3 THEN 'CANADIAN' WHEN 4 THEN 'INDIAN' WHEN 5 THEN 'AUSTRALIAN' ELSE 'INDIAN' END AS nationality FROM customer""",

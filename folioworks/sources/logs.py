@@ -15,19 +15,30 @@ def _append(df: DataFrame, path: str) -> None:
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The log, or no rows before its first entry."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = fs.exists(jpath) and any(not f.getPath().getName().startswith("_") for f in fs.listStatus(jpath))
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
 RUN_SCHEMA = "run_no int, run string, created timestamp, kind string, model string, fingerprint string"
 
 
+def _claim(spark: SparkSession, path: str, number: int) -> int:
+    """The first number from `number` on that nobody has: the file system creates its claim, or says that it is there."""
+    while True:
+        claim = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_claims/{number:09d}")
+        if claim.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(claim):
+            return number
+        number += 1
+
+
 def log_run(spark: SparkSession, path: str, name: str, kind: str, model: str, fingerprint: str = "") -> str:
-    """Append a run under the next number; earlier runs are never touched."""
+    """Append a run under the next number; earlier runs are never touched. Writers at the same time get different numbers."""
     last = _read(spark, path, RUN_SCHEMA).agg(F.max("run_no")).first()[0] or 0
-    run = f"exp_{last + 1:03d}_{name}"
+    number = _claim(spark, path, last + 1)
+    run = f"exp_{number:03d}_{name}"
     row = spark.range(1).select(
-        F.lit(last + 1).alias("run_no"), F.lit(run).alias("run"), F.current_timestamp().alias("created"),
+        F.lit(number).alias("run_no"), F.lit(run).alias("run"), F.current_timestamp().alias("created"),
         F.lit(kind).alias("kind"), F.lit(model).alias("model"), F.lit(fingerprint).alias("fingerprint"),
     )
     _append(row, path)

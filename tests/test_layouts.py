@@ -113,3 +113,14 @@ def test_sources_and_logs(spark, tmp_path):
     views = spark.createDataFrame([("view", "c", "XXXX XXXX 1234", True)], "event string, client string, number string, check_digit_ok boolean")
     logs.log_number_views(views, str(tmp_path / "views"))
     assert spark.read.parquet(str(tmp_path / "views")).first()["number_last4"] == "1234"
+
+
+def test_writers_at_the_same_time_get_different_run_numbers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "runs")
+    with ThreadPoolExecutor(4) as pool:
+        runs = list(pool.map(lambda i: logs.log_run(spark, path, f"w{i}", "baseline", "rules"), range(8)))
+    assert len(set(runs)) == 8
+    assert sorted(r["run_no"] for r in logs.read_runs(spark, path).collect()) == list(range(1, 9))
+    assert logs.log_run(spark, path, "later", "baseline", "rules") == "exp_009_later"

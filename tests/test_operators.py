@@ -223,6 +223,16 @@ def test_households_are_components_of_persons(spark):
     assert got == {1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (4, 4), 5: (5, 1), 6: (5, 1), 7: (7, 7), 8: (8, 8), 9: (9, 8), 10: (10, 10)}
 
 
+def test_a_boundary_between_stops_the_value_above(spark):
+    from folioworks.operators.identity import nearest_above
+
+    rows = [("f", 1, 1, "ABOVE", 100, 100, 200, 130, False), ("f", 1, 2, "LABEL", 100, 140, 200, 170, True), ("f", 1, 3, "ASIDE", 700, 150, 800, 180, False), ("f", 1, 4, "NEAR", 110, 150, 200, 185, False)]
+    lines = spark.createDataFrame(rows, "file string, page int, line_id int, text string, x0 int, y0 int, x1 int, y1 int, boundary boolean").withColumn("conf", F.lit(0.9)).withColumn("h", F.lit(30.0))
+    anchor = spark.createDataFrame([("f", 1, 9, 100, 190, 200, 30.0)], "file string, page int, a_line_id int, a_x0 int, a_y0 int, a_x1 int, a_h double")
+    assert [r.v.text for r in nearest_above(anchor, lines).collect()] == ["NEAR"]
+    assert nearest_above(anchor, lines.where("line_id <> 4")).count() == 0  # the label stands between
+
+
 def test_other_nationalities_stay(spark):
     from folioworks.operators.identity import clean_value
 
