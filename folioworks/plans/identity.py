@@ -105,7 +105,9 @@ def national_number_vote(spark: SparkSession, root: str) -> DataFrame:
     spaced = lambda d: F.concat_ws(" ", F.substring("f11", 1, 4), F.substring("f11", 5, 4), F.concat(F.substring("f11", 9, 3), d))
     one = spaced(F.when(F.col("k") % 4 == 1, bad).otherwise(F.col("d")))
     two = spaced(F.when(F.col("k") % 4 == 3, bad).when(F.col("k") % 4 == 1, bad).otherwise(F.col("d")))
-    front = _lines(h, [(F.lit("GOVERNMENT OF INDIA"), 300, 50), (one, 400, 500), (F.lit("VID : 9123 4567 8901 2345"), 400, 560)])
+    vid = (F.lit(9 * 10**15) + F.col("k") * 104729).cast("string")
+    vid = F.concat_ws(" ", F.lit("VID :"), *[F.substring(vid, i, 4) for i in (1, 5, 9, 13)])
+    front = _lines(h, [(F.lit("GOVERNMENT OF INDIA"), 300, 50), (one, 400, 500), (vid, 400, 560)])
     n = identity.national_numbers(front.unionByName(_lines(h, [(two, 300, 320)], 2)))
     return n.select("file", "masked_number", "check_digit_ok", "votes")
 

@@ -208,10 +208,6 @@ TAX_HOLDER_TYPES = {
     "A": "association of persons", "T": "trust", "B": "body of individuals",
     "L": "local authority", "J": "artificial juridical person", "G": "government",
 }
-TAX_LABELS = [
-    ("father_name", "FATHER'S NAME"), ("father_name", "FATHERS NAME"), ("father_name", "FATHER NAME"),
-    ("date_of_birth", "DATE OF BIRTH"), ("name", "NAME"),
-]
 TRAVEL_LABELS = {
     "type": ["Type"],
     "code": ["Code", "Country Code"],
