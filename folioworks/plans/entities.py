@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioworks.operators import dedup, graph, split
 from folioworks.plans.registry import query
+from folioworks.plans.sqltext import lcs_length
 from folioworks.session import cut_lineage, table
 
 _CHAIN = "SELECT o_custkey AS a, o_orderkey % (SELECT count(*) FROM customer) AS b FROM orders"
@@ -45,14 +46,6 @@ def near_dup_pairs(spark: SparkSession, root: str) -> DataFrame:
     return dedup.near_copy_links(dedup.text_signature(table(spark, root, "documents"), "doc_id", "text"), "doc_id")
 
 
-def _lcs(x: str, y: str) -> str:
-    """SQL: length of the longest common subsequence, a row of the table per letter of x."""
-    letters = f"list_transform(string_split({x}, ''), lambda c: [ord(c)])"
-    row = f"""list_reduce(list_transform(range(1, length({y}) + 1), lambda j: [j]), lambda made, j: list_append(made,
-              CASE WHEN ord(({y})[j[1]]) = e[1] THEN old[j[1]] + 1 ELSE greatest(old[j[1] + 1], made[-1]) END), [0::BIGINT])"""
-    return f"CASE WHEN {x} = '' OR {y} = '' THEN 0 ELSE list_reduce({letters}, lambda old, e: {row}, list_transform(range(length({y}) + 1), lambda i: 0::BIGINT))[-1] END"
-
-
 def _word_sets(x: str, y: str, name: str) -> str:
     """SQL columns: the shared words and both full texts, shared words first, of two names."""
     tx, ty = f"list_distinct(string_split({x}, ' '))", f"list_distinct(string_split({y}, ' '))"
@@ -64,7 +57,7 @@ def _word_sets(x: str, y: str, name: str) -> str:
 def _sets_agree(n: str, exact: bool) -> str:
     """SQL: the word-set ratio is 90 or more; or, not `exact`, may be by the Levenshtein distance."""
     part = lambda i: f"(length({n}0) > 0 AND 200.0 * length({n}0) >= 90 * (length({n}0) + length({n}{i})))"
-    whole = f"200.0 * ({_lcs(n + '1', n + '2')}) >= 90 * (length({n}1) + length({n}2))" if exact else f"10 * levenshtein({n}1, {n}2) <= length({n}1) + length({n}2)"
+    whole = f"200.0 * ({lcs_length(n + '1', n + '2')}) >= 90 * (length({n}1) + length({n}2))" if exact else f"10 * levenshtein({n}1, {n}2) <= length({n}1) + length({n}2)"
     return f"(({n}0 <> '' AND {n}0 IN ({n}1, {n}2)) OR {part(1)} OR {part(2)} OR {whole})"
 
 
@@ -92,7 +85,7 @@ _ENTITY_SQL = f"""WITH RECURSIVE c AS (SELECT c_custkey AS k, c_mktsegment AS se
     homes AS (SELECT f, m, min(k) AS id FROM p WHERE f <> '' GROUP BY f, m),
     home_pairs AS MATERIALIZED (SELECT x.id AS a, y.id AS b, x.f AS f1, y.f AS f2, x.m AS m1, y.m AS m2 FROM homes x JOIN homes y ON x.id < y.id
         WHERE 20 * levenshtein(x.f, y.f) <= length(x.f) + length(y.f) AND 20 * levenshtein(x.m, y.m) <= length(x.m) + length(y.m)),
-    home AS (SELECT a, b FROM home_pairs WHERE 200.0 * ({_lcs('f1', 'f2')}) >= 95 * (length(f1) + length(f2)) AND 200.0 * ({_lcs('m1', 'm2')}) >= 95 * (length(m1) + length(m2))
+    home AS (SELECT a, b FROM home_pairs WHERE 200.0 * ({lcs_length('f1', 'f2')}) >= 95 * (length(f1) + length(f2)) AND 200.0 * ({lcs_length('m1', 'm2')}) >= 95 * (length(m1) + length(m2))
              UNION SELECT a, b FROM (SELECT min(k) OVER (PARTITION BY f, m) AS a, k AS b FROM p WHERE f <> '') WHERE a <> b)
     SELECT a, b, 'same_student' AS relation, reasons FROM person
     UNION ALL SELECT a, b, 'same_parents_different_student', 'both parents'' names match' FROM home h

@@ -10,6 +10,7 @@ from folioworks.functions.similarity import cer, indel_ratio
 from folioworks.operators import assemble, decode, layout, matching, metrics, split
 from folioworks.operators.ranking import number_rows_within
 from folioworks.plans.registry import query
+from folioworks.plans.sqltext import lcs_length
 from folioworks.session import cut_lineage, table
 from folioworks.sources import derived
 
@@ -116,7 +117,11 @@ def levenshtein_cer(spark: SparkSession, root: str) -> DataFrame:
     return p.select("p_partkey", F.round(cer(name, base), 6).alias("error_rate"), F.round(levenshtein_similarity(name, base), 6).alias("similarity"))
 
 
-@query("indel_ratio_pairs")
+@query(
+    "indel_ratio_pairs",
+    f"""WITH p AS (SELECT DISTINCT p_brand, p_name FROM part), f AS (SELECT p_brand, min(p_name) AS base FROM p GROUP BY p_brand)
+       SELECT p_brand, p_name, base, round(CASE WHEN p_name = '' AND base = '' THEN 100.0 ELSE 200.0::DOUBLE * ({lcs_length('p_name', 'base')}) / (length(p_name) + length(base)) END, 4) AS ratio FROM p JOIN f USING (p_brand)""",
+)
 def indel_ratio_pairs(spark: SparkSession, root: str) -> DataFrame:
     """Distinct part names of one brand against the brand's first name."""
     p = table(spark, root, "part").select("p_brand", "p_name").distinct()
