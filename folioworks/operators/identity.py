@@ -481,7 +481,7 @@ def memo_subjects(lines: DataFrame) -> DataFrame:
 def number_on_row(rows: DataFrame, label: str, pattern: str) -> DataFrame:
     """Last number after a label, from the first printed row that shows it. `rows` is (file, row_no, text)."""
     hits = rows.where(F.col("text").rlike(f"(?i){label}"))
-    after = F.regexp_replace("text", f"(?i)^.*?(?:{label})", "")
+    after = F.btrim(F.regexp_replace("text", f"(?i)^.*?(?:{label})", ""), F.lit(" :;.,-("))
     v = F.try_element_at(F.regexp_extract_all(after, F.lit(pattern), 1), F.lit(-1))
     return hits.withColumn("value", v).where("value is not null").groupBy("file").agg(F.min_by("value", "row_no").alias("value"))
 
@@ -489,12 +489,14 @@ def number_on_row(rows: DataFrame, label: str, pattern: str) -> DataFrame:
 def check_memos(subjects: DataFrame, printed: DataFrame) -> DataFrame:
     """Flags of school memos: grade against point, figures against words, unread or missing rows, total and average.
 
-    `printed` is (file, cgpa, total).
+    `printed` is (file, cgpa, total), and points_total where memos print the sum of the grade points.
     """
     c = F.col
+    if "points_total" not in printed.columns:
+        printed = printed.withColumn("points_total", F.lit(None).cast("int"))
     graded = subjects.groupBy("file").agg((F.count("grade") >= F.greatest(F.lit(1), F.floor(F.count("*") / 2))).alias("graded"), F.count("*").alias("n"))
     s = subjects.join(graded, "file").withColumn("from_words", c("words").try_cast("int"))
-    s = s.withColumn("point", F.when(c("graded"), F.coalesce("grade_point", "from_words"))).withColumn("mark", F.when(~c("graded"), F.coalesce("marks", "grade_point", "from_words")))
+    s = s.withColumn("point", F.when(c("graded"), F.coalesce("grade_point", "from_words"))).withColumn("mark", F.when(~c("graded"), F.coalesce("marks", "from_words")))
     expected = F.try_element_at(t.literal_map(vocab.GRADE_POINTS), c("grade"))
     reason = (
         F.when(c("graded") & (c("grade").isNull() | c("point").isNull()), "grade or grade point not read")
@@ -505,10 +507,15 @@ def check_memos(subjects: DataFrame, printed: DataFrame) -> DataFrame:
     rows = s.withColumn("reason", reason).where("reason is not null").select("file", F.concat(F.lit("subjects."), "area").alias("field"), "reason")
     d = s.groupBy("file").agg(F.first("graded").alias("graded"), F.first("n").alias("n"), F.sum("point").alias("points"), F.count("point").alias("n_points"), F.sum("mark").alias("marks"), F.count("mark").alias("n_marks")).join(printed, "file", "left")
     mean = c("points") / 6
+    whole = c("graded") & (c("n") == 6) & (c("n_points") == 6)
+    average = (
+        F.when(c("graded") & c("cgpa").isNull(), "CGPA not found")
+        .when(whole & (c("points_total") != c("points")), "grade points do not add up to their total")
+        .when(whole & (F.abs(c("cgpa") - F.round(mean + 1e-9, 1)) >= 0.051), "average of the grade points differs")
+    )
     rules = F.array(
         F.when(c("n") < 6, F.struct(F.lit("subjects").alias("field"), F.lit("fewer than six subject rows were read").alias("reason"))),
-        F.when(c("graded") & (c("n") == 6) & (c("n_points") == 6) & (F.abs(c("cgpa") - F.round(mean + 1e-9, 1)) >= 0.051), F.struct(F.lit("cgpa").alias("field"), F.lit("average of the grade points differs").alias("reason"))),
-        F.when(c("graded") & c("cgpa").isNull(), F.struct(F.lit("cgpa").alias("field"), F.lit("CGPA not found").alias("reason"))),
+        F.when(average.isNotNull(), F.struct(F.lit("cgpa").alias("field"), average.alias("reason"))),
         F.when(~c("graded") & c("total").isNotNull() & (c("n_marks") == c("n")) & (c("marks") != c("total")), F.struct(F.lit("total_marks").alias("field"), F.lit("subjects do not add up to the total").alias("reason"))),
         F.when(~c("graded") & c("total").isNull(), F.struct(F.lit("total_marks").alias("field"), F.lit("grand total not found").alias("reason"))),
     )

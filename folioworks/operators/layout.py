@@ -97,33 +97,47 @@ def visual_rows(words: DataFrame, mode: str = "exact") -> DataFrame:
 
 
 def card_rows(lines: DataFrame) -> DataFrame:
-    """Printed rows of a card: a line joins one of the last four rows when it overlaps that row's tallest line."""
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["cy", "line_id"], kind="stable")
-        rows: list[tuple[float, float]] = []
-        out = []
-        for y0, y1 in zip(pdf["y0"].tolist(), pdf["y1"].tolist()):
-            h, cy = max(1.0, y1 - y0), (y0 + y1) / 2
-            for r in range(max(0, len(rows) - 4), len(rows)):
-                a0, a1 = rows[r]
-                ah = max(1.0, a1 - a0)
-                if min(a1, y1) - max(a0, y0) >= 0.55 * min(ah, h) and abs((a0 + a1) / 2 - cy) < 0.6 * max(ah, h):
-                    if h > ah:
-                        rows[r] = (y0, y1)
-                    out.append(r)
-                    break
-            else:
-                out.append(len(rows))
-                rows.append((y0, y1))
-        return pd.DataFrame({
-            "file": pdf["file"].to_numpy(), "page": pdf["page"].to_numpy(), "line_id": pdf["line_id"].to_numpy(),
-            "row_id": pd.Series(out, dtype="int32").to_numpy(),
-        })
-
-    tilted = lines.select("file", "page", "line_id", F.col("y0").cast("double"), F.col("y1").cast("double"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
-    rows = tilted.groupBy(*PAGE).applyInPandas(kernel, "file string, page int, line_id int, row_id int")
-    return lines.join(rows, [*PAGE, "line_id"])
+    """Printed rows of a card (row_id from 0): a line joins the first of the last four rows whose tallest line it overlaps.
+
+    Bands of lines without a common height with other bands are told apart first, for lines of different bands never share
+    a row; a band is then folded line by line in the JVM, with the last four rows as the state.
+    """
+    cols = lines.columns
+    l = lines.withColumns({"_top": F.least("y0", "y1").cast("double"), "_end": F.greatest("y0", "y1").cast("double"), "_cy": (F.col("y0") + F.col("y1")) / 2})
+    order = Window.partitionBy(*PAGE).orderBy("_top", "_end", "line_id")
+    new = F.when(F.col("_top") >= F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
+    l = l.withColumn("_new", new).withColumn("_band", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    one = F.struct(F.col("_cy").alias("cy"), "line_id", F.col("y0").cast("double").alias("y0"), F.col("y1").cast("double").alias("y1"), F.struct(*cols).alias("row"))
+    bands = l.groupBy(*PAGE, "_band").agg(F.array_sort(F.collect_list(one)).alias("_l"))
+
+    def tall(x: Column) -> Column:
+        return F.greatest(F.lit(1.0), x["y1"] - x["y0"])
+
+    def add(acc: Column, x: Column) -> Column:
+        def fits(r: Column) -> Column:
+            shared = F.least(r["y1"], x["y1"]) - F.greatest(r["y0"], x["y0"])
+            apart = F.abs((r["y0"] + r["y1"]) / 2 - x["cy"])
+            return (shared >= 0.55 * F.least(tall(r), tall(x))) & (apart < 0.6 * F.greatest(tall(r), tall(x)))
+
+        def grown(r: Column) -> Column:
+            taller = (r["n"] == hit) & (tall(x) > tall(r))
+            return F.struct(F.when(taller, x["y0"]).otherwise(r["y0"]).alias("y0"), F.when(taller, x["y1"]).otherwise(r["y1"]).alias("y1"), r["n"].alias("n"))
+
+        hit = F.get(F.filter(acc["last"], fits), F.lit(0))["n"]
+        opened = F.array(F.struct(x["y0"].alias("y0"), x["y1"].alias("y1"), acc["n"].alias("n")))
+        kept = F.when(F.size(acc["last"]) < 4, acc["last"]).otherwise(F.slice(acc["last"], 2, 3))
+        last = F.when(hit.isNotNull(), F.transform(acc["last"], grown)).otherwise(F.concat(kept, opened))
+        picked = F.concat(acc["rows"], F.array(F.coalesce(hit, acc["n"])))
+        return F.struct(last.alias("last"), (acc["n"] + F.when(hit.isNull(), 1).otherwise(0)).alias("n"), picked.alias("rows"))
+
+    start = F.struct(
+        F.array().cast("array<struct<y0:double,y1:double,n:int>>").alias("last"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("rows")
+    )
+    folded = F.when(F.size("_l") == 1, F.array(F.lit(0))).otherwise(F.aggregate("_l", start, add, lambda acc: acc["rows"]))
+    flat = bands.withColumn("_r", folded).select("*", F.posexplode("_l").alias("_i", "_x"))
+    flat = flat.select("_band", F.get("_r", F.col("_i")).alias("_sub"), "_x.row.*")
+    by_row = Window.partitionBy(*PAGE).orderBy("_band", "_sub")
+    return flat.withColumn("row_id", F.dense_rank().over(by_row) - 1).select(*cols, "row_id")
 
 
 def gap_islands(df: DataFrame, group: list[str], order: list, start: Column, stop: Column, limit: Column | float, name: str = "island") -> DataFrame:

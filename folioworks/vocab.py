@@ -240,6 +240,16 @@ MEMO_AREAS = [
     ("L3", "Third language", r"THIRD\s*LANGUAGE"), ("MA", "Mathematics", r"MATHEMATICS"),
     ("SC", "Science", r"(?:GENERAL\s*)?SCIENCE"), ("SS", "Social studies", r"SOCIAL\s*STUDIES"),
 ]
+MEMO_LABELS = {
+    "student_name": r"CERTIFIED\s*THAT",
+    "father_name": r"FATHER'?S?\s*NAME|FATHER\s*NAME",
+    "mother_name": r"MOTHER'?S?\s*NAME|MOTHER\s*NAME",
+    "roll_number": r"(?:BEARING\s*)?ROLL\s*NO\.?",
+    "date_of_birth": r"DATE\s*OF\s*BIRTH(?:\s*OF\s*THE)?",
+    "school": r"BELONG(?:ING|S)\s*TO|\bSCHOOL\b\s*:|^\W*SCHOOL\b",
+    "medium": r"^\W*MEDIUM",
+}
+MEMO_REQUIRED = ["student_name", "date_of_birth", "roll_number"]
 MEMO_AREA_SUBJECT = {"MA": "MATHEMATICS", "SC": "SCIENCE", "SS": "SOCIAL STUDIES"}
 CHECK_WEIGHTS = [7, 3, 1]
 VERHOEFF_STEP = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4]
