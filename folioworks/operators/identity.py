@@ -206,6 +206,60 @@ def tax_name_check(numbers: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
+def tax_card_label(text: Column) -> Column:
+    """Which label of a tax card a line is, null for none: the text behind the last slash, compared by letters."""
+    letters = F.trim(F.regexp_replace(F.upper(F.regexp_replace(F.regexp_replace(text, "^.*/", ""), "[^A-Za-z' ]", " ")), r"\s+", " "))
+    near = [
+        F.when((letters == phrase) | ((F.length(letters) >= 4) & (similar_letters(letters, phrase) >= 85)), key)
+        for key, phrase in vocab.TAX_CARD_LABELS
+    ]
+    return F.coalesce(*near)
+
+
+def similar_letters(text: Column, phrase: str) -> Column:
+    """Similarity (0 to 100) of a text and a fixed phrase by their longest common subsequence."""
+    total = F.length(text) + len(phrase)
+    return 200.0 * common_letters(text, phrase) / total
+
+
+def tax_card_fields(lines: DataFrame, today: str) -> DataFrame:
+    """Name, father's name and birth date of tax cards: (file, field, value, confidence, by_position).
+
+    A value stands under its label, in its column and at most 2.2 heights below. Older cards have no labels: the first lines
+    in capitals under the heading that read as names are taken in order, and the first date anywhere.
+    """
+    c = F.col
+    l = lines.where(F.trim("text") != "").withColumns({
+        "h": F.greatest(F.lit(1.0), (c("y1") - c("y0")).cast("double")), "cy": (c("y0") + c("y1")) / 2, "label": tax_card_label(c("text")),
+        "born": dates.parse_date(c("text"), today).cast("string"), "named": t.name_like(c("text")),
+    })
+    l = cut_lineage(l.withColumn("place", F.struct("page", "y0", "x0", "line_id")))
+    names = l.where(c("named") & c("label").isNull())
+    values = names.select("file", "page", "line_id", "place", "x0", "y0", "cy", "conf", "text", F.lit(False).alias("dated")).unionByName(
+        l.where("born is not null").select("file", "page", "line_id", "place", "x0", "y0", "cy", "conf", c("born").alias("text"), F.lit(True).alias("dated"))
+    )
+    a = l.where("label is not null").select("file", "page", "label", c("place").alias("at"), c("line_id").alias("own"), c("x0").alias("a_x0"), c("y1").alias("a_y1"), c("cy").alias("a_cy"), c("h").alias("a_h"))
+    under = a.join(values, ["file", "page"]).where(
+        (c("dated") == (c("label") == "date_of_birth")) & (c("line_id") != c("own")) & (c("cy") > c("a_cy") + 0.4 * c("a_h")) & (c("y0") <= c("a_y1") + 2.2 * c("a_h")) & (F.abs(c("x0") - c("a_x0")) <= 3 * c("a_h"))
+    )
+    # the first label with a value counts, and its highest value
+    top = under.groupBy("file", "label").agg(F.min_by(F.struct("text", "conf", "line_id"), F.struct("at", "y0", "place")).alias("v"))
+    got = cut_lineage(top.select("file", c("label").alias("field"), "v.*", F.lit(False).alias("by_position")))
+
+    heading = l.where(F.upper("text").rlike(r"INCOME\s*TAX|GOVT")).groupBy("file").agg(F.max("y1").alias("below"))
+    given = got.groupBy("file").agg(F.count_if(c("field").isin("name", "father_name")).alias("n"))
+    loose = names.where(F.upper("text") == c("text")).join(given, "file", "left").where(F.coalesce("n", F.lit(0)) < 2)
+    loose = loose.join(heading, "file", "left").where(c("y0") > F.coalesce("below", F.lit(0))).join(got.select("file", "line_id"), ["file", "line_id"], "left_anti")
+    loose = loose.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("place"))).where("nth <= 2")
+    loose = loose.select("file", F.when(c("nth") == 1, "name").otherwise("father_name").alias("field"), "text", "conf")
+    dated = l.where("born is not null").groupBy("file").agg(F.min_by(F.struct(c("born").alias("text"), "conf"), "place").alias("v")).select("file", F.lit("date_of_birth").alias("field"), "v.*")
+    # a lone date is its field however the card is laid out; only names are read by position
+    spare = loose.withColumn("by_position", F.lit(True)).unionByName(dated.withColumn("by_position", F.lit(False))).join(got.select("file", "field"), ["file", "field"], "left_anti")
+    out = got.drop("line_id").unionByName(spare)
+    value = F.when(c("field") == "date_of_birth", c("text")).otherwise(F.upper(t.tidy_name(c("text"))))
+    return out.select("file", "field", value.alias("value"), c("conf").alias("confidence"), "by_position")
+
+
 # ---- labelled values -------------------------------------------------------------------------
 def _label_scores(lines: DataFrame, labels: list[tuple[str, str]], cutoff: float) -> DataFrame:
     """Best label of each line over the fixed label list: compared whole and after the last slash."""

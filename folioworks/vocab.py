@@ -234,6 +234,10 @@ TRAVEL_FIELDS = [
     "address", "file_number",
 ]
 TRAVEL_REQUIRED = ["passport_number", "surname", "given_names", "date_of_birth", "date_of_expiry"]
+TAX_CARD_LABELS = [
+    ("father_name", "FATHER'S NAME"), ("father_name", "FATHERS NAME"), ("father_name", "FATHER NAME"),
+    ("date_of_birth", "DATE OF BIRTH"), ("name", "NAME"),
+]
 GRADE_POINTS = {"A1": 10, "A2": 9, "B1": 8, "B2": 7, "C1": 6, "C2": 5, "D1": 4, "D2": 3, "D": 4}
 MEMO_AREAS = [
     ("L1", "First language", r"FIRST\s*LANGUAGE"), ("L2", "Second language", r"SECOND\s*LANGUAGE"),

@@ -95,3 +95,24 @@ def test_levelled_pages_read_like_level_ones(spark):
     assert texts["t0.0"] == texts["t0.04"] == texts["t-0.04"]
     crooked = {r.text for r in memos.memo_rows(df).where(F.col("file") == "t0.04").collect()}
     assert "MATHEMATICS A1 10" not in crooked
+
+
+def test_tax_card_by_label_and_by_position(spark):
+    from folioworks.operators import identity
+
+    def card(file, rows):
+        return [(file, 1, i, text, float(x), float(y), x + 200.0, y + 30.0, 0.9) for i, (text, x, y) in enumerate(rows)]
+
+    lines = card("new", [("INCOME TAX DEPARTMENT", 100, 40), ("GOVT. OF INDIA", 600, 40), ("/ Name", 100, 200), ("RAVI KUMAR TEST", 100, 240), ("/ Father's Name", 100, 300), ("SURESH TEST", 100, 340), ("/ Date of Birth", 100, 400), ("01/02/1990", 100, 440)])
+    lines += card("old", [("INCOME TAX DEPARTMENT", 100, 40), ("RAVI KUMAR TEST", 100, 100), ("SURESH TEST", 100, 150), ("0l/O2/1990", 100, 200), ("Permanent Account Number", 100, 250)])
+    # a value out of its label's column, or too far below it, is not its value
+    lines += card("far", [("/ Name", 100, 200), ("mixed Case Name", 500, 240), ("/ Date of Birth", 100, 300), ("01/02/1990", 100, 700)])
+    lines += card("bare", [("12345", 100, 100)])
+    df = spark.createDataFrame(lines, LINES)
+    got = {(r.file, r.field): (r.value, r.by_position) for r in identity.tax_card_fields(df, "2026-01-01").collect()}
+    for file, by_position in (("new", False), ("old", True)):
+        assert got[file, "name"] == ("RAVI KUMAR TEST", by_position)
+        assert got[file, "father_name"] == ("SURESH TEST", by_position)
+        assert got[file, "date_of_birth"] == ("1990-02-01", False)
+    assert {k[1]: v[0] for k, v in got.items() if k[0] == "far"} == {"date_of_birth": "1990-02-01"}
+    assert not [k for k in got if k[0] == "bare"]
