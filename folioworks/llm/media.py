@@ -6,7 +6,7 @@ the sample tables (stsd, stts, stsc, stsz or stz2, stco or co64, stss) and gives
 keyframes. Payloads are not decoded: samples are only cut out by their byte ranges, and only if asked for.
 
 A null text is an empty one and is stored as one frame of padding. A container that is null or broken gives nulls and says
-why in `error`. Repeated rows give equal values. An empty table gives an empty result. Only columns in `keep` are carried.
+why in `error`; so does one with boxes over 32 deep, or with counts and lengths that its bytes cannot hold. Repeated rows give equal values. An empty table gives an empty result. Only columns in `keep` are carried.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ FRAME = SIDE * SIDE
 PAD = b"\xff"
 #: Frames a second, frames in a chunk, and frames from one keyframe to the next.
 RATE, IN_CHUNK, KEY_EVERY = 25, 8, 12
-#: Boxes that hold boxes.
+#: Boxes that hold boxes, and how deep they may stand in each other.
+DEPTH = 32
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex"}
 
 FIELDS = [
@@ -84,10 +85,13 @@ def container(payload: bytes) -> bytes:
     return head + data + payload + movie
 
 
-def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()):
-    """(path, first byte of the body, end of the body) of every box, outer boxes first."""
-    end = len(data) if end is None else end
-    while at + 8 <= end:
+def walk(data: bytes):
+    """(path, first byte of the body, end of the body) of every box, outer boxes first. Boxes nest DEPTH deep at most."""
+    open_: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
+    while open_:
+        at, end, path = open_.pop()
+        if at + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, at)
         head = 8
         if size == 1:
@@ -97,9 +101,11 @@ def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple[bytes, ..
         if size < head or at + size > end:
             raise ValueError(f"box {kind!r} at {at} reaches out of its parent")
         yield (*path, kind), at + head, at + size
+        open_.append((at + size, end, path))
         if kind in NESTED:
-            yield from walk(data, at + head, at + size, (*path, kind))
-        at += size
+            if len(path) + 1 >= DEPTH:
+                raise ValueError(f"boxes are nested over {DEPTH} deep")
+            open_.append((at + head, at + size, (*path, kind)))
 
 
 def _numbers(data: bytes, at: int, kind: str, n: int, end: int) -> np.ndarray:
@@ -130,6 +136,8 @@ def sample_ranges(data: bytes, track: dict[bytes, tuple[int, int]]) -> tuple[np.
     if b"stsz" in track:
         at, end = track[b"stsz"]
         same, n = struct.unpack_from(">II", data, at + 4)
+        if same and n * same > len(data):
+            raise ValueError("samples are longer than the file")
         sizes = np.full(n, same, dtype=np.int64) if same else _numbers(data, at + 12, ">u4", n, end)
     else:
         at, end = track[b"stz2"]
@@ -152,7 +160,7 @@ def sample_ranges(data: bytes, track: dict[bytes, tuple[int, int]]) -> tuple[np.
     first = np.cumsum(per_chunk) - per_chunk  # of each chunk
     before = np.cumsum(sizes) - sizes
     offsets = np.repeat(chunks - before[first], per_chunk) + before
-    if (offsets < 0).any() or (offsets + sizes > len(data)).any():
+    if (offsets < 0).any() or (offsets > len(data) - sizes).any():
         raise ValueError("a sample lies outside the file")
     return offsets, sizes
 
@@ -178,6 +186,8 @@ def describe(data: bytes) -> tuple[tuple, tuple[np.ndarray, np.ndarray]]:
             raise ValueError("a keyframe is no sample")
     ranges = [{"sample": k, "offset": o, "length": s} for k, o, s in zip(keys.tolist(), offsets[keys - 1].tolist(), sizes[keys - 1].tolist())]
     duration = int((times[:, 0] * times[:, 1]).sum()) or int(length)
+    if not 0 <= duration < 1 << 63:
+        raise ValueError("the duration is no 63-bit number")
     return (codec, width, height, timescale, duration, len(sizes), ranges), (offsets, sizes)
 
 

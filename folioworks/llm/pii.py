@@ -13,6 +13,10 @@ only carried by `redact`. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+from array import array
+from bisect import bisect_left
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +51,6 @@ class Forms:
     """Matches of the four forms. A search goes on where the last match ended, and never starts inside a run it has seen fail."""
 
     def __init__(self):
-        import re
-
         import regex
 
         self.email = regex.compile(rf"(?:(?<!{LOCAL})|\G){LOCAL}++@{DOMAIN}+(?:\.{DOMAIN}+)+")
@@ -103,15 +105,52 @@ class Forms:
         return out
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
+class Before:
+    """The words before a place of one text, in time that does not grow with the distance to them.
+
+    A short window is enough where words are short; where it holds too few, the text's words are listed once.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.starts = text, None
+
+    def __call__(self, start: int) -> tuple[list[str], list[str] | None]:
+        """The last two words before `start`, the near end of each, and those on its line if they are fewer than two."""
+        size = 60
+        while size <= 960:
+            before = self.text[max(0, start - size) : start]
+            words = before.split()
+            if len(words) > 2 or size >= start:  # the first word may be cut, so one more than needed
+                line = before.rsplit("\n", 1)[-1].split() if "\n" in before or size >= start else None
+                return [w.lower()[-60:] for w in words[-2:]], [w.lower()[-60:] for w in line] if line is not None and len(line) < 2 else None
+            size *= 4
+        return self._listed(start)
+
+    def _listed(self, start: int) -> tuple[list[str], list[str] | None]:
+        if self.starts is None:
+            self.starts, self.ends, self.first = array("q"), array("q"), bytearray()
+            end = 0
+            for m in re.finditer(r"\S+", self.text):
+                self.first.append(not end or "\n" in self.text[end : m.start()])
+                end = m.end()
+                self.starts.append(m.start())
+                self.ends.append(end)
+        n = bisect_left(self.starts, start)  # words that begin before
+        near = [self.text[max(self.starts[i], e - 61) : e].lower()[-60:] for i in range(max(0, n - 2), n) for e in [min(self.ends[i], start)]]
+        inside = bool(n) and self.ends[n - 1] > start
+        own = (n - 1 if inside or n == len(self.starts) else n)  # the word at `start`
+        if own < n:  # glued to what stands before it
+            return near, near[-1:] if self.first[own] else None
+        if self.first[own]:
+            return near, []
+        return near, near[-1:] if self.first[own - 1] else None
+
+
+def contexts(text: str, start: int, end: int, words_before: Before | None = None) -> list[str]:
     """Lexical patterns around a span: the two words before it, the word before with the word after, each of the two alone,
     and the word that alone stands before it on its line. Digits are all 0; of words over 60 characters the near end counts."""
-    size = 60
-    while len(words := (before := text[max(0, start - size) : start]).split()) < 3 and size < start:
-        size *= 4  # the first word may be cut, so one more than needed
-    left = [w.lower()[-60:] for w in words[-2:]]
-    line = before.rsplit("\n", 1)[-1].split() if "\n" in before or size >= start else None
-    glued = "" if not before or before[-1].isspace() else "<"
+    left, line = (words_before or Before(text))(start)
+    glued = "" if not start or text[start - 1].isspace() else "<"
     after = text[end : end + 60].split()
     right = after[0].lower().strip(".,;:!?") if after and end < len(text) and text[end].isspace() else ""
     out = []
@@ -123,8 +162,8 @@ def contexts(text: str, start: int, end: int) -> list[str]:
         out.append(f"B {left[-1]}{glued} _ {right}")
     if right:
         out.append(f"R {right}")
-    if line is not None and len(line) < 2:
-        out.append(f"S {line[0].lower()[-60:] if line else ''}{glued}")
+    if line is not None:
+        out.append(f"S {line[0] if line else ''}{glued}")
     return ["".join("0" if "0" <= c <= "9" else c for c in p) for p in out]
 
 
@@ -138,7 +177,8 @@ def found_by_form(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
             got = forms.spans(t)
             seen = [(k, s, e) for k, s, e in got] + [(None, s, e) for s, e in forms.candidates(t, got)]
             spans.append([{"kind": k, "start": s, "end": e} for k, s, e in got])
-            mentions.append([{"kind": k, "start": s, "end": e, "instance": t[s:e].lower(), "patterns": contexts(t, s, e)} for k, s, e in seen])
+            before = Before(t)
+            mentions.append([{"kind": k, "start": s, "end": e, "instance": t[s:e].lower(), "patterns": contexts(t, s, e, before)} for k, s, e in seen])
         return [pa.array(spans, SPANS), pa.array(mentions, MENTIONS)]
 
     return common.map_texts(docs, run, [("base", SPANS_TYPE), ("mentions", MENTIONS_TYPE)], keep, text)
