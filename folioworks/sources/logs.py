@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +27,27 @@ RUN_SCHEMA = "run_no int, run string, created timestamp, kind string, model stri
 
 
 def _claim(spark: SparkSession, path: str, number: int) -> int:
-    """The first number from `number` on that nobody has: the file system creates its claim, or says that it is there."""
+    """The first number from `number` on that nobody has: its claim is a file that must not be there yet.
+
+    A shared file system refuses the second of two creations itself; on a local one the check and the creation are one
+    call of the operating system, as the Hadoop client would make them in two steps.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_claims")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    local = fs.getUri().getScheme() == "file"
     while True:
-        claim = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_claims/{number:09d}")
-        if claim.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(claim):
-            return number
+        try:
+            if local:
+                os.close(os.open(f"{folder.toUri().getPath()}/{number:09d}", os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+                return number
+            if fs.createNewFile(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{number:09d}")):
+                return number
+        except FileExistsError:
+            pass
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
         number += 1
 
 

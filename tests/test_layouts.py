@@ -124,3 +124,12 @@ def test_writers_at_the_same_time_get_different_run_numbers(spark, tmp_path):
     assert len(set(runs)) == 8
     assert sorted(r["run_no"] for r in logs.read_runs(spark, path).collect()) == list(range(1, 9))
     assert logs.log_run(spark, path, "later", "baseline", "rules") == "exp_009_later"
+
+
+def test_one_number_is_claimed_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "claims")
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda _: logs._claim(spark, path, 1), range(64)))
+    assert sorted(numbers) == list(range(1, 65))
