@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import ModuleType
 
-_MODULES = ("records", "documents", "sequences", "entities", "identity", "memos", "alignment")
+_MODULES = ("records", "documents", "sequences", "entities", "identity", "alignment", "memos")
 
 
 def load_all() -> ModuleType:

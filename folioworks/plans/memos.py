@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioworks import vocab
 from folioworks.functions.text import spell_digits
-from folioworks.operators import memos, review
+from folioworks.operators import identity, memos, review
 from folioworks.plans.identity import _HOLDER, TODAY, _lines, holders
 from folioworks.plans.registry import query
 from folioworks.session import cut_lineage
@@ -74,6 +74,11 @@ def printed_memos(spark: SparkSession, root: str) -> DataFrame:
     return cut_lineage(moved.withColumn("conf", F.when(F.col("text").startswith(": RAVI") & (n % 9 == 4), 0.5).otherwise(F.col("conf"))))
 
 
+def _levelled(spark: SparkSession, root: str) -> DataFrame:
+    lines = printed_memos(spark, root)
+    return cut_lineage(memos.level(lines, memos.page_tilt(lines)))
+
+
 _AREA_ROWS = ", ".join(f"({i}, '{code}', {len(area)}, '{grade}', {point}, {mark})" for i, (code, area, _, grade, point, mark) in enumerate(_SUBJECTS))
 _PRINTED = f"""{_HOLDER}, d AS (SELECT *, {_GRADED} AS g, {_KIND} AS m, CASE k % 5 WHEN 1 THEN 2e-2 WHEN 2 THEN -2e-2 WHEN 3 THEN 5e-2 WHEN 4 THEN -5e-2 ELSE 0e0 END AS printed_tilt FROM h),
     a(i, area, n, grade, point, mark) AS (VALUES {_AREA_ROWS}),
@@ -107,7 +112,7 @@ def memo_tilt(spark: SparkSession, root: str) -> DataFrame:
 )
 def memo_fields(spark: SparkSession, root: str) -> DataFrame:
     """Header fields of memos with missing labels, values off their row, misread digits and tilted pages."""
-    return memos.read_memos(printed_memos(spark, root), TODAY)[0]
+    return memos.header_fields(cut_lineage(memos.memo_rows(_levelled(spark, root))), TODAY)
 
 
 @query(
@@ -118,7 +123,7 @@ def memo_fields(spark: SparkSession, root: str) -> DataFrame:
 )
 def memo_subjects(spark: SparkSession, root: str) -> DataFrame:
     """Subject rows of tilted memos: grade, points or marks, and the number in words."""
-    return memos.read_memos(printed_memos(spark, root), TODAY)[1].select("file", "area", "subject", "grade", "grade_point", "marks", "words")
+    return identity.memo_subjects(_levelled(spark, root)).select("file", "area", "subject", "grade", "grade_point", "marks", "words")
 
 
 _MEMO_FLAGS = f"""{_PRINTED}, f AS (
@@ -147,8 +152,7 @@ def memo_flags(spark: SparkSession, root: str) -> DataFrame:
 )
 def memo_results(spark: SparkSession, root: str) -> DataFrame:
     """Average, total and sum of points from the first row that shows their label."""
-    lines = printed_memos(spark, root)
-    return memos.printed_results(memos.memo_rows(memos.level(lines, memos.page_tilt(lines))))
+    return memos.printed_results(memos.memo_rows(_levelled(spark, root)))
 
 
 @query(
