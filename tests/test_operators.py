@@ -43,6 +43,42 @@ def test_best_non_overlapping(spark):
     assert got == want
 
 
+def _greedy_spans(spans):
+    """Brute force: (group, start, stop, value, id) by value, then id; a span goes in when it meets none that is in."""
+    taken, want = {}, set()
+    for g, s, e, v, k in sorted(spans, key=lambda x: (-x[3], x[4])):
+        if s is not None and e is not None and s <= e and not taken.setdefault(g, set()) & set(range(s, e + 1)):
+            taken[g] |= set(range(s, e + 1))
+            want.add(k)
+    return want
+
+
+@pytest.mark.parametrize("seed,fold,chunk", [(2, 16, 64), (4, 32, 1000)])
+def test_best_non_overlapping_large_islands(spark, seed, fold, chunk):
+    rnd = random.Random(seed)
+    spans = []
+    for k in range(300):
+        g, s = rnd.choice(["a", "b", None]), rnd.randint(0, 400)
+        spans.append((g, s, s + rnd.choice([0, 1, 3, 5, 9, 200 if k % 40 == 0 else 2]), float(rnd.randint(0, 5)), k))
+    spans += [("stairs", s, s + 4, 1.0, 1000 + s) for s in range(120)]  # equal values: a chain from left to right
+    spans += [("a", None, 5, 9.0, 2000), ("a", 7, None, 9.0, 2001), ("a", 9, 3, 9.0, 2002)]
+    df = spark.createDataFrame(spans, "g string, s int, e int, v double, k int")
+    got = matching.best_non_overlapping(df, ["g"], "s", "e", [-F.col("v"), F.col("k")], fold=fold, chunk=chunk)
+    rows = [r["k"] for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == _greedy_spans(spans)
+    assert got.columns == df.columns
+    assert matching.best_non_overlapping(df.where("false"), ["g"], "s", "e", [F.col("k")], fold=fold).count() == 0
+
+
+def test_best_non_overlapping_chain_over_chunks(spark):
+    """One island, every span meets the next, and the left one of two is better: thousands of spans in a few rounds."""
+    n = 20_000
+    df = spark.range(n).select(F.lit("x").alias("g"), (F.col("id") * 2).alias("s"), (F.col("id") * 2 + 3).alias("e"), "id")
+    got = matching.best_non_overlapping(df, ["g"], "s", "e", [F.col("s")], chunk=8_000)
+    row = got.agg(F.count("*").alias("n"), F.max(F.col("id") % 2).alias("odd")).first()
+    assert (row["n"], row["odd"]) == (n // 2, 0)
+
+
 def test_components_name_the_smallest(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in (101, 102, 103)] + [(200, 201)]
     nodes = spark.createDataFrame([(n,) for n in [*range(0, 41), 100, 101, 102, 103, 200, 201, 300]], "n long")
