@@ -37,8 +37,7 @@ from folioworks.shipping import ship_by_value
 SAMPLE = 10_000
 #: Bands of minima by which near copies are told: a pair of similarity 0.8 shares one with a probability of 0.998.
 COPY_BANDS = 16
-#: Signs of toxicity that are weighed against each other, and how many may be chosen, at most.
-CANDIDATES, CHOSEN = 5_000, 500
+#: Letters of the word beginnings that may be signs.
 BEGINNINGS = (4, 5, 6, 7)
 #: A sign is toxic only if this part of the documents that hold it is.
 SURE = 0.7
@@ -400,6 +399,18 @@ def _evidence(toxic: float, clean: float, rate: float) -> float:
     return toxic * math.log(p / rate) + (clean * math.log((1 - p) / (1 - rate)) if clean else 0.0)
 
 
+def _evidences(toxic: np.ndarray, clean: np.ndarray, rate: float) -> np.ndarray:
+    """`_evidence` of many signs."""
+    n = toxic + clean
+    p = np.divide(toxic, n, out=np.zeros(len(n)), where=n > 0)
+    up = p > rate
+    out = np.full(len(n), -1.0)
+    out[up] = toxic[up] * np.log(p[up] / rate)
+    both = up & (clean > 0)
+    out[both] += clean[both] * np.log((1 - p[both]) / (1 - rate))
+    return out
+
+
 def choose(signs: list[str], held: list[dict[int, str]], toxic: list[bool], weight: tuple[float, float], least: float) -> tuple[dict[str, float], float]:
     """Signs with their probabilities, and the probability of a document without any.
 
@@ -419,12 +430,14 @@ def choose(signs: list[str], held: list[dict[int, str]], toxic: list[bool], weig
     befores = [[held[d][i] for d in ds if toxic[d]] for i, ds in enumerate(docs_of)]
     varied = [i for i, b in enumerate(befores) if len(set(filter(None, b))) + b.count("") >= PLACES]  # each text's start is a place
     left = [float(len(toxic) - sum(toxic)), float(sum(toxic))]
-    while len(chosen) < CHOSEN and left[1] > 0:
+    ranked = np.array(sorted(varied, key=lambda i: (len(signs[i]), signs[i]), reverse=True), dtype=np.int64)  # ties go to the first
+    while len(ranked) and left[1] > 0:
         rate = weight[1] * left[1] / (weight[1] * left[1] + weight[0] * left[0])
-        scores = [(_evidence(count[1, i] * weight[1], count[0, i] * weight[0], rate) / max(weight[1], 1.0), len(signs[i]), signs[i], i) for i in varied if count[1, i] > 2]
-        if not scores or max(scores)[0] < least:
+        scores = np.where(count[1, ranked] > 2, _evidences(count[1, ranked] * weight[1], count[0, ranked] * weight[0], rate) / max(weight[1], 1.0), -1.0)
+        best = int(scores.argmax())
+        if scores[best] < least:
             break
-        i = max(scores)[3]
+        i = int(ranked[best])
         chosen[signs[i]] = float(sure[i])
         for d in docs_of[i]:
             if open_docs[d]:
@@ -434,21 +447,27 @@ def choose(signs: list[str], held: list[dict[int, str]], toxic: list[bool], weig
                     count[int(toxic[d]), k] -= 1
     rate = weight[1] * sum(toxic) / (weight[1] * sum(toxic) + weight[0] * (len(toxic) - sum(toxic)))
     at = {s: i for i, s in enumerate(signs)}
-    own = [_evidence(total[1, i], total[0, i] * weight[0] / weight[1], rate) for i in range(len(signs))]
+    own = _evidences(total[1], total[0] * weight[0] / weight[1], rate)
+    longer: dict[str, list[str]] = {}  # chosen signs by what they begin with
+    for c in chosen:
+        for n in range(1, len(c) + 1):
+            longer.setdefault(c[:n], []).append(c)
     for s in sorted((signs[i] for i in varied), key=lambda s: (-own[at[s]], not s.endswith(" "), -len(s), s)):
-        if len(chosen) >= CHOSEN or any(s[:n] in chosen for n in range(1, len(s) + 1)):
+        if any(s[:n] in chosen for n in range(1, len(s) + 1)):
             continue
-        known = {d for c in chosen if c.startswith(s) for d in docs_of[at[c]]}
+        known = {d for c in longer.get(s, ()) for d in docs_of[at[c]]}
         more = [d for d in docs_of[at[s]] if d not in known]  # what it finds beyond longer signs that begin with it
         bad = [d for d in more if toxic[d]]
         if len(bad) > 2 and _evidence(len(bad), (len(more) - len(bad)) * weight[0] / weight[1], rate) >= least:
             chosen[s] = float(sure[at[s]])
+            for n in range(1, len(s) + 1):
+                longer.setdefault(s[:n], []).append(s)
     base = (weight[1] * left[1] + 0.5) / (weight[1] * left[1] + weight[0] * left[0] + 1)
     return chosen, min(base, 0.25)
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Toxicity:
-    """The model of a corpus and its labels. The driver sees trigram counts (a fixed alphabet), CANDIDATES signs and the sample's signs."""
+    """The model of a corpus and its labels. The driver sees trigram counts (a fixed alphabet) and the signs of the sample, which SAMPLE bounds."""
     characters = character_model([tuple(r) for r in character_counts(docs).collect()])
     known = different(docs, labels)
     texts = sample(docs, known)
@@ -462,8 +481,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Toxicity:
     least = math.log(2 * max(tested, 1))  # a sign that chance gives in one of two corpora
     n = F.col("toxic") * weight[1] + F.col("clean") * weight[0]
     p = F.col("toxic") * weight[1] / n
-    likely = counts.where((F.col("toxic") > 2) & (p > SURE)).orderBy((F.col("toxic") * F.log(p / 0.1)).desc(), F.length("sign").desc(), "sign").limit(CANDIDATES)
-    signs = [r.sign for r in likely.select("sign").collect()]
+    likely = counts.where((F.col("toxic") > 2) & (p > SURE))
+    signs = sorted(r.sign for r in likely.select("sign").collect())
     reader_model, names = texts.sparkSession.sparkContext.broadcast(characters), signs
 
     def run(batches):

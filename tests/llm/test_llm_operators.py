@@ -1,6 +1,7 @@
 """The training-data operators on small tables, against brute force, exact round trips and planted cases."""
 
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -317,6 +318,15 @@ def test_frequent_signs_and_signs_at_the_start_are_chosen():
     assert set(chosen) == {"often ", "first "} and base < 0.3
 
 
+def test_every_sign_with_evidence_is_chosen():
+    """700 words, ten toxic documents each, and as many of clean ones: none is left out for its place in the order."""
+    signs = [f"bad{i:03d} " for i in range(700)] + [f"ok{i:03d} " for i in range(700)]
+    held = [{i: f"place {d}"} for i in range(1400) for d in range(10)]
+    toxic = [i < 700 for i in range(1400) for _ in range(10)]
+    chosen, base = toxicity.choose(signs, held, toxic, (9.0, 1.0), math.log(2 * len(signs)))
+    assert set(chosen) == set(signs[:700]) and min(chosen.values()) > 0.9 and base < 0.3
+
+
 def test_toxicity_on_labelled_and_odd_rows(spark):
     root = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
@@ -324,9 +334,11 @@ def test_toxicity_on_labelled_and_odd_rows(spark):
     model = toxicity.learn(docs, more)
     planted = documents(spark, ["You are such a L 0 S E R", "what an 1d10t wrote this", "nothing to see here", "stuuuupid thing"], [-1, -2, -3, -4])
     out = toxicity.score(docs.select("doc_id", "text").unionByName(planted.select("doc_id", "text")).unionByName(odd(spark).select("doc_id", "text")), model, ["doc_id"])
-    held = out.where(toxicity.held_out(F.col("doc_id"))).join(labels, "doc_id").select("score", "toxic", "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("lang = 'en'").collect()
-    hit = lambda k: np.mean([r.score >= 0.3 for r in held if r.toxic == k])
-    assert hit(1) > 0.85 and hit(0) < 0.02
+    held = out.where(toxicity.held_out(F.col("doc_id"))).join(labels, "doc_id").select("score", "toxic", "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    hit = lambda k, lang: np.mean([r.score >= 0.3 for r in held if r.toxic == k and r.lang == lang])
+    assert hit(1, "en") > 0.85 and hit(0, "en") < 0.02
+    for lang in ("de", "fr", "es"):
+        assert hit(1, lang) > 0.8 and hit(0, lang) < 0.07, lang
     scores = {r.doc_id: r.score for r in out.where("doc_id < 0").collect()}
     assert scores[-2] > 0.3 and scores[-4] > 0.3 and scores[-3] < 0.3
     assert all(0 <= r.score <= 1 for r in out.collect())
