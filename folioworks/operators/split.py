@@ -46,22 +46,21 @@ def group_split(docs: DataFrame, sizes: dict[str, int], seed: int = vocab.SPLIT_
     names = sorted(sizes, key=lambda k: -sizes[k])
     groups = docs.groupBy(group).agg(F.count("*").alias("_n"), F.min(stratum).alias("_s"))
     many = cut_lineage(groups.where("_n > 1"))
-    room, cuts = dict(sizes), []
-    for r in many.groupBy("_n").agg(F.count("*").alias("groups")).orderBy(F.desc("_n")).collect():  # one row per size
-        taken = place_size(r["_n"], r["groups"], room, sizes)
+    table = many.groupBy("_n").agg(F.count("*").alias("groups")).orderBy(F.desc("_n")).collect()  # one row per size
+    room, placed = place_all([(r["_n"], r["groups"]) for r in table], sizes)
+    cuts = []
+    for n, taken in placed:
         upto = 0
         for k in names:
-            cuts.append((r["_n"], k, upto, upto + taken[k]))
+            cuts.append((n, k, upto, upto + taken[k]))
             upto += taken[k]
     shuffled = F.xxhash64(F.lit(seed), F.col(group))
     lane = F.concat_ws("|", "_n", F.coalesce("_s", F.lit("")))
     turned = number_rows_within(many.withColumn("_lane", lane), "_lane", [shuffled, F.col(group)], "_turn")
     ranked = number_rows_within(turned, "_n", [F.col("_turn"), F.col("_s"), F.col(group)], "_nth")
-    home = F.lit(None).cast("string")
-    for n, k, lo, hi in cuts:
-        if hi > lo:
-            home = F.when((F.col("_n") == n) & (F.col("_nth") > lo) & (F.col("_nth") <= hi), k).otherwise(home)
-    multi = ranked.select(group, home.alias("partition"))
+    # a row per size and partition, joined: as one expression a few hundred sizes are too deep to compile
+    limits = docs.sparkSession.createDataFrame([c for c in cuts if c[3] > c[2]], "_n long, partition string, _lo long, _hi long")
+    multi = ranked.join(F.broadcast(limits), "_n").where("_nth > _lo and _nth <= _hi").select(group, "partition")
 
     single = docs.join(groups.where("_n = 1").select(group), group, "left_semi")
     turn = number_rows_within(single, stratum, [F.xxhash64(F.lit(seed), F.col(id_)), F.col(id_)], "_turn")
@@ -104,6 +103,64 @@ def place_size(size: int, groups: int, room: dict[str, int], wanted: dict[str, i
     return out
 
 
+def place_all(table: list[tuple[int, int]], sizes: dict[str, int]) -> tuple[dict[str, int], list[tuple[int, dict[str, int]]]]:
+    """(room left for single documents, groups of each size for each partition) of a table of (size, groups), largest first.
+
+    Sizes are placed one by one; where the last ones find no room for a whole group that way, `fill_exactly` settles all of them.
+    """
+    room = dict(sizes)
+    try:
+        return room, [(n, place_size(n, groups, room, sizes)) for n, groups in table]
+    except RuntimeError:
+        for share in (1.0, 0.9, 0.5, 0.0):
+            found = fill_exactly(table, sizes, share)
+            if found:
+                return found
+        raise
+
+
+def fill_exactly(table: list[tuple[int, int]], sizes: dict[str, int], share: float):
+    """Every partition gets `share` of its part of each size; of the groups left over, each but the largest partition gets a set
+    that fills it but for the single documents there are. None where there is no such set. Sets are sums in a bit string."""
+    total, room = sum(sizes.values()), dict(sizes)
+    names = sorted(sizes, key=lambda k: (sizes[k], k))
+    out = {n: {k: int(share * groups * sizes[k] / total) for k in sizes} for n, groups in table}
+    for n, got in out.items():
+        for k in sizes:
+            room[k] -= n * got[k]
+    left = {n: groups - sum(out[n].values()) for n, groups in table}
+    single = total - sum(n * groups for n, groups in table)
+    for k in names[:-1]:
+        items = []  # (size, groups) in lots of 1, 2, 4 ... groups
+        for n, groups in left.items():
+            lot = 1
+            while groups:
+                lot = min(lot, groups)
+                items.append((n, lot))
+                groups, lot = groups - lot, lot * 2
+        within = (1 << (room[k] + 1)) - 1
+        sums = [1]
+        for n, lot in items:
+            sums.append((sums[-1] | (sums[-1] << (n * lot))) & within)
+        at = sums[-1].bit_length() - 1  # the largest sum that fits
+        if room[k] - at > single:
+            return None
+        single -= room[k] - at
+        room[k] -= at
+        for (n, lot), before in zip(reversed(items), reversed(sums[:-1])):
+            if not before >> at & 1:
+                at -= n * lot
+                out[n][k] += lot
+                left[n] -= lot
+    rest = sum(n * groups for n, groups in left.items())
+    if rest > room[names[-1]]:
+        return None
+    room[names[-1]] -= rest
+    for n, groups in left.items():
+        out[n][names[-1]] += groups
+    return room, list(out.items())
+
+
 def split_leaks(assigned: DataFrame, groups: DataFrame, id_: str = "file", group: str = "group") -> DataFrame:
     """Groups found in more than one partition."""
     g = groups.select(id_, F.col(group).alias("_g"))
