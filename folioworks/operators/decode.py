@@ -24,10 +24,24 @@ def best_labels(probabilities: DataFrame) -> DataFrame:
     return probabilities.groupBy(*_WORD).agg(best).select(*_WORD, "b.label", "b.p")
 
 
-def decode_spans(words: DataFrame, labels: DataFrame) -> DataFrame:
+def with_best_label(words: DataFrame, scores: str = "scores") -> DataFrame:
+    """Words with label and p, as `word_probabilities` and `best_labels` give them, from the scores each word carries: an array of
+    (label, logit), one for every window over the word. Nothing is shuffled, for a word's scores are already together."""
+    mean = lambda of: F.aggregate(of, F.lit(0.0), lambda a, s: a + s["logit"]) / F.size(of)
+    names = F.array_distinct(F.transform(scores, lambda s: s["label"]))
+    z = F.transform(names, lambda n: F.struct(n.alias("label"), mean(F.filter(scores, lambda s: s["label"] == n)).alias("z")))
+    w = words.withColumn("_z", z).withColumn("_top", F.array_max(F.transform("_z", lambda s: s["z"])))
+    w = w.withColumn("_sum", F.aggregate("_z", F.lit(0.0), lambda a, s: a + F.exp(s["z"] - F.col("_top"))))
+    p = lambda s: F.exp(s["z"] - F.col("_top")) / F.col("_sum")
+    best = F.array_min(F.transform("_z", lambda s: F.struct((-p(s)).alias("n"), s["label"].alias("label"), p(s).alias("p"))))
+    return w.withColumn("_b", best).select(*[c for c in words.columns if c != scores], "_b.label", "_b.p")
+
+
+def decode_spans(words: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Spans in reading order of text lines. A new one starts at B-, at another label, at single-word labels, at a
-    word without scores before it, and for subjects at a new line. Confidence: least probability x reading confidence."""
-    w = words.join(labels, _WORD, "left")
+    word without scores before it, and for subjects at a new line. Confidence: least probability x reading confidence.
+    Without `labels` the words have label and p themselves."""
+    w = words if labels is None else words.join(labels, _WORD, "left")
     order = Window.partitionBy("file", "page").orderBy("line_id", "x0", "word_id")
     bare = F.when(F.col("label").isNull() | (F.col("label") == "O"), None).otherwise(F.regexp_replace("label", "^[BI]-", ""))
     w = w.withColumn("entity", bare)

@@ -59,3 +59,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows evenly over the shuffle partitions before costly scoring, so one crowded task cannot hold it up."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over the shuffle partitions by keys, before each of them becomes many: a small file is read by one task, and
+    all that is made from its rows without a shuffle would stay there. Later steps by the same keys need no shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
