@@ -359,7 +359,10 @@ def span_matches(targets: list[str], cutoffs: list[float], max_words: list[int])
     lens = np.array([len(t) for t in known], dtype=np.float64)
     cut_v, lim_v = np.array(cuts, dtype=np.float64), np.array(limits)
     floor = float(min(cuts))
-    heads = [t[: max(3, len(t) - 1)] for t in known]
+    heads: dict[str, list[tuple[int, str]]] = {}  # by their first letters, so a word is held against few of them
+    for k, t in enumerate(known):
+        heads.setdefault(t[:3], []).append((k, t[: max(3, len(t) - 1)]))
+    starts = sorted({len(h) for h in heads})
 
     @F.pandas_udf("array<struct<target_id:int,n_words:int,score:double>>")
     def find(rows: pd.Series) -> pd.Series:
@@ -376,8 +379,8 @@ def span_matches(targets: list[str], cutoffs: list[float], max_words: list[int])
                     break
                 uses.append((i, n, texts.setdefault(acc, len(texts))))
             first = words[0]
-            for k, t in enumerate(known):
-                if len(first) > len(t) and first.startswith(heads[k]):
+            for k, head in sorted(x for n in starts for x in heads.get(first[:n], ())):
+                if len(first) > len(known[k]) and first.startswith(head):
                     out[i].append({"target_id": k, "n_words": 1, "score": 90.0})
         if texts:
             keys = list(texts)

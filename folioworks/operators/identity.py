@@ -209,11 +209,15 @@ def tax_name_check(numbers: DataFrame, names: DataFrame) -> DataFrame:
 def tax_card_label(text: Column) -> Column:
     """Which label of a tax card a line is, null for none: the text behind the last slash, compared by letters."""
     letters = F.trim(F.regexp_replace(F.upper(F.regexp_replace(F.regexp_replace(text, "^.*/", ""), "[^A-Za-z' ]", " ")), r"\s+", " "))
-    near = [
-        F.when((letters == phrase) | ((F.length(letters) >= 4) & (similar_letters(letters, phrase) >= 85)), key)
-        for key, phrase in vocab.TAX_CARD_LABELS
-    ]
-    return F.coalesce(*near)
+
+    def near(x: Column, phrase: str) -> Column:
+        # no text is nearer by its common letters than by its Levenshtein distance, which is quick to tell
+        most = F.floor(0.15 * (F.length(x) + len(phrase)) + 1e-9)
+        return (x == phrase) | ((F.length(x) >= 4) & (F.levenshtein(x, F.lit(phrase)) <= most) & (similar_letters(x, phrase) >= 85))
+
+    # the letters are made once, as the item of an array, and read by every comparison
+    first = F.transform(F.array(letters), lambda x: F.coalesce(*[F.when(near(x, phrase), key) for key, phrase in vocab.TAX_CARD_LABELS]))
+    return first[0]
 
 
 def similar_letters(text: Column, phrase: str) -> Column:
@@ -349,8 +353,10 @@ def labelled_lines(lines: DataFrame, cutoff: float = 82.0) -> DataFrame:
 
 def labelled_values(lines: DataFrame, cutoff: float = 82.0) -> DataFrame:
     """(file, key, text, conf): the value printed under each travel-document label, in its column and above the next
-    label, so an empty field stays empty; where a label could not be read, the value right above the next one."""
-    l = cut_lineage(labelled_lines(lines, cutoff))
+    label, so an empty field stays empty; where a label could not be read, the value right above the next one.
+
+    Lines that already come from `labelled_lines` are not labelled again."""
+    l = lines if "boundary" in lines.columns else cut_lineage(labelled_lines(lines, cutoff))
     a = l.where("label is not null").select("file", "page", F.col("label").alias("key"), "label_score", *[F.col(c).alias(f"a_{c}") for c in ("line_id", "x0", "y0", "x1", "y1", "h")])
     c = F.col
     id_ = ["file", "page", "key", "a_line_id"]
@@ -512,7 +518,7 @@ def memo_subjects(lines: DataFrame) -> DataFrame:
         area = F.when(F.col("u").rlike(rf"^\W*{pat}\b") & ~F.col("u").rlike("EDUCATION|SKILLS"), code).otherwise(area)
     a = l.withColumn("area", area).where("area is not null").groupBy("file", "area").agg(F.min_by(F.struct("page", "line_id", "x0", "y0", "y1", "cy", "h", "u", "conf"), F.struct("page", "y0", "line_id")).alias("a"))
     c = F.col
-    same = l.join(a, "file").where((c("page") == c("a.page")) & (c("line_id") != c("a.line_id")) & (c("x0") > c("a.x0")) & (F.abs(c("cy") - c("a.cy")) < 0.6 * F.greatest("h", "a.h")))
+    same = l.join(a.hint("merge"), "file").where((c("page") == c("a.page")) & (c("line_id") != c("a.line_id")) & (c("x0") > c("a.x0")) & (F.abs(c("cy") - c("a.cy")) < 0.6 * F.greatest("h", "a.h")))
     g = F.replace(F.regexp_replace("u", r"^[^A-Z0-9]+|[^A-Z0-9*]+$", ""), F.lit(" "), F.lit(""))
     n = t.repair_digits(g, card=True)
     same = same.withColumn("grade", F.when(g.rlike(r"^(A1|A2|B1|B2|C1|C2|D1|D2|D|E)\*?$"), F.replace(g, F.lit("*"), F.lit(""))))
@@ -522,7 +528,7 @@ def memo_subjects(lines: DataFrame) -> DataFrame:
         F.max_by("grade", F.when(c("grade").isNotNull(), c("x0"))).alias("grade"), F.min_by("number", F.when(c("number").isNotNull(), c("x0"))).alias("number"),
         F.max_by("words", F.when(c("words") != "", c("x0"))).alias("words"), F.min_by("lang", F.when(c("lang").isNotNull(), c("x0"))).alias("lang"), F.min("conf").alias("row_conf"),
     )
-    out = a.join(r, ["file", "area"], "left")
+    out = a.join(r.hint("merge"), ["file", "area"], "left")
     own = F.lit("")
     for code, _, pat in vocab.MEMO_AREAS:
         own = F.when(c("area") == code, F.btrim(F.regexp_replace("a.u", rf"^\W*{pat}\W*", ""), F.lit(" :;(),."))).otherwise(own)
@@ -549,7 +555,8 @@ def check_memos(subjects: DataFrame, printed: DataFrame) -> DataFrame:
     if "points_total" not in printed.columns:
         printed = printed.withColumn("points_total", F.lit(None).cast("int"))
     graded = subjects.groupBy("file").agg((F.count("grade") >= F.greatest(F.lit(1), F.floor(F.count("*") / 2))).alias("graded"), F.count("*").alias("n"))
-    s = subjects.join(graded, "file").withColumn("from_words", c("words").try_cast("int"))
+    # sizes are guessed from the input file before its rows are printed: a guess must not send a row per memo through the driver
+    s = subjects.join(graded.hint("merge"), "file").withColumn("from_words", c("words").try_cast("int"))
     s = s.withColumn("point", F.when(c("graded"), F.coalesce("grade_point", "from_words"))).withColumn("mark", F.when(~c("graded"), F.coalesce("marks", "from_words")))
     expected = F.try_element_at(t.literal_map(vocab.GRADE_POINTS), c("grade"))
     reason = (
@@ -559,7 +566,7 @@ def check_memos(subjects: DataFrame, printed: DataFrame) -> DataFrame:
         .when(~c("graded") & (c("from_words") != c("mark")), "figures and words differ")
     )
     rows = s.withColumn("reason", reason).where("reason is not null").select("file", F.concat(F.lit("subjects."), "area").alias("field"), "reason")
-    d = s.groupBy("file").agg(F.first("graded").alias("graded"), F.first("n").alias("n"), F.sum("point").alias("points"), F.count("point").alias("n_points"), F.sum("mark").alias("marks"), F.count("mark").alias("n_marks")).join(printed, "file", "left")
+    d = s.groupBy("file").agg(F.first("graded").alias("graded"), F.first("n").alias("n"), F.sum("point").alias("points"), F.count("point").alias("n_points"), F.sum("mark").alias("marks"), F.count("mark").alias("n_marks")).join(printed.hint("merge"), "file", "left")
     mean = c("points") / 6
     whole = c("graded") & (c("n") == 6) & (c("n_points") == 6)
     average = (
