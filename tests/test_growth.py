@@ -81,3 +81,49 @@ def test_further_pages_of_a_certificate_have_their_role(spark, tmp_path):
     want = dict(db.execute(ORACLE["certificate_page_roles"]).fetchall())
     assert {r["role"]: r["documents"] for r in certificate_page_roles(spark, str(tmp_path)).collect()} == want
     assert want["certificate"] == 4 and want["other"] > 10
+
+
+def test_scores_are_told_once(spark):
+    # a filter on a score must not be pushed below the shuffle before it, where crowded tasks would score every pair first
+    from folioworks.operators.align import keys_like
+    from folioworks.operators.phrases import phrase_hits
+    from folioworks.sources.derived import certificate_lines
+
+    lines = certificate_lines(spark, "/root/testdata/sf0.001")
+    assert plan_of(phrase_hits(lines, ["MEMORANDUM OF MARKS", "FATHER S NAME"], ["file"])).count("ArrowEvalPython") == 1
+    keys = spark.createDataFrame([("f", "ENGLISHBAA"), ("f", "OTHER")], "file string, key string")
+    alike = keys_like(keys, keys.select("file", F.col("key").alias("tkey")))
+    assert plan_of(alike).count("ArrowEvalPython") == 1
+    assert {(r["key"], r["sim"]) for r in alike.collect()} == {("ENGLISHBAA", 100.0), ("OTHER", 100.0)}
+
+
+def test_the_prefilter_finds_what_its_pieces_find():
+    import re
+
+    from folioworks.functions.similarity import _pieces, phrase_prefilter
+
+    phrases = ["FATHER S NAME", "IN", "INTERMEDIATE", "BOARD OF EDUCATION", "A P", "NOTE"]
+    pattern = re.compile(phrase_prefilter(phrases, 88.0))
+    pieces = {p for ph in phrases for _, p in _pieces(ph, 88.0)}
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ABDEFHINOPRT ") for _ in range(12)) for _ in range(5000)] + phrases
+    assert all(bool(pattern.search(x)) == any(p in x for p in pieces) for x in texts)
+    assert phrase_prefilter(["MARCHING", "MARCHES"], 100.0) == "MARCH(?:ES|ING)"
+
+
+def test_common_subsequences_of_any_letters():
+    from folioworks.functions.similarity import lcs_lengths
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(7)
+    for letters in ("ABC", "AB\0é日"):
+        pairs = [["".join(rng.choice(letters) for _ in range(rng.randint(0, 70))) for _ in range(2)] for _ in range(300)]
+        assert lcs_lengths([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [plain(a, b) for a, b in pairs]
