@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioworks.functions import text as t
 from folioworks.functions.geometry import Box, box, v_overlap
+from folioworks.session import spread_by
 from folioworks.shipping import ship_by_value
 
 ship_by_value(__name__)
@@ -74,8 +75,9 @@ def visual_rows(words: DataFrame, mode: str = "exact") -> DataFrame:
     Bands of words that share no vertical extent with other bands are separated first with windows; words of
     different bands can never share a row. A band whose words all cross one core strip is one row, decided
     without leaving the JVM. Only tangled bands are grown word by word. `mode="islands"` takes every band as a row.
+    Words are dealt by page over all tasks once, whatever their size in the shuffle, and every step goes on from there.
     """
-    w = with_geometry(words)
+    w = with_geometry(spread_by(words, *PAGE))
     above = Window.partitionBy(*PAGE).orderBy("y0", "y1", "word_id").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(*PAGE).orderBy("y0", "y1", "word_id").rowsBetween(Window.unboundedPreceding, 0)
     w = w.withColumn("_new", F.when(F.col("y0") >= F.max("y1").over(above), 1).otherwise(0)).withColumn("_band", F.sum("_new").over(upto))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioworks import vocab
 from folioworks.functions.text import spell_digits
-from folioworks.session import table
+from folioworks.session import spread_by, table
 
 _SUBJECTS = ["ENGLISH", "SANSKRIT", "MATHEMATICS", "PHYSICS", "CHEMISTRY", "BOTANY", "ZOOLOGY", "ECONOMICS", "COMMERCE", "CIVICS", "HISTORY", "GEOGRAPHY"]
 _PER_PAGE = 25
@@ -28,14 +28,19 @@ def _pick(values: list[str], k: Column) -> Column:
 
 
 def certificate_orders(spark: SparkSession, root: str) -> DataFrame:
-    """Subject rows: file, page, place on the page, name and both papers' marks."""
+    """Subject rows: file, page, place on the page, name and both papers' marks.
+
+    An order is a few bytes and becomes many printed words, so pages are dealt over all tasks before they are printed, and
+    joins by customer are not broadcast by a guess from the files' sizes.
+    """
     o = table(spark, root, "orders").select("o_orderkey", "o_custkey")
     n = o.groupBy("o_custkey").agg(F.ceil(F.count("*") / _PER_PAGE).alias("_pages"))
-    o = o.join(n, "o_custkey").withColumn("page", (F.pmod(F.xxhash64("o_orderkey"), F.col("_pages")) + 1).cast("int"))
-    place = F.row_number().over(Window.partitionBy("o_custkey", "page").orderBy("o_orderkey"))
+    o = o.join(n.hint("merge"), "o_custkey").withColumn("page", (F.pmod(F.xxhash64("o_orderkey"), F.col("_pages")) + 1).cast("int"))
+    o = spread_by(o.withColumn("file", file_name(F.col("o_custkey"))), "file", "page")
+    place = F.row_number().over(Window.partitionBy("file", "page").orderBy("o_orderkey"))
     k = F.col("o_orderkey")
     return o.select(
-        file_name(F.col("o_custkey")).alias("file"), F.col("o_custkey").alias("custkey"), "page", place.alias("place"), "o_orderkey",
+        "file", F.col("o_custkey").alias("custkey"), "page", place.alias("place"), "o_orderkey",
         F.concat(_pick(_SUBJECTS, k), F.lit(" "), letters(k)).alias("subject_name"),
         ((k * 7) % 101).cast("int").alias("first"), ((k * 13 + 5) % 101).cast("int").alias("second"),
     )
@@ -58,7 +63,7 @@ def certificate_truth(spark: SparkSession, root: str) -> DataFrame:
     )
     c = table(spark, root, "customer")
     k = F.col("c_custkey")
-    return c.join(totals, k == F.col("custkey")).select(
+    return c.join(totals.hint("merge"), k == F.col("custkey")).select(
         file_name(k).alias("file"), k.alias("custkey"), is_ledger(k).alias("ledger"),
         F.concat("c_mktsegment", F.lit(" "), letters(k)).alias("student_name"),
         F.concat(F.lit("RAM "), letters(k * 3)).alias("father_name"),
@@ -112,7 +117,7 @@ def certificate_lines(spark: SparkSession, root: str) -> DataFrame:
     end = F.lit(_TOP) + (F.col("n") + 2) * _STEP
     foot = [_line(say("Total Marks", F.col("total_marks")), 60, end, 90000), _line(say("In Words", spell_digits(F.col("total_marks"))), 60, end + _STEP, 90001)]
     # the total stands on the first page that carries rows, which is page 1 when there is one page
-    last = n.groupBy("file", "custkey").agg(F.min_by("n", "page").alias("n"), F.min("page").alias("page")).join(t.select("file", "total_marks"), "file")
+    last = n.groupBy("file", "custkey").agg(F.min_by("n", "page").alias("n"), F.min("page").alias("page")).join(t.select("file", "total_marks").hint("merge"), "file")
     feet = last.select("file", "custkey", "page", F.explode(F.array(*foot)).alias("l"))
     all_ = first.unionByName(body).unionByName(heads).unionByName(feet)
     tilt = (F.col("custkey") % 3) * 0.004

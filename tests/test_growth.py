@@ -127,3 +127,19 @@ def test_common_subsequences_of_any_letters():
     for letters in ("ABC", "AB\0é日"):
         pairs = [["".join(rng.choice(letters) for _ in range(rng.randint(0, 70))) for _ in range(2)] for _ in range(300)]
         assert lcs_lengths([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [plain(a, b) for a, b in pairs]
+
+
+def test_printed_pages_are_dealt_over_tasks_and_nothing_by_customer_is_broadcast(spark):
+    from folioworks.operators.layout import visual_rows
+    from folioworks.operators.phrases import keyword_hits
+    from folioworks.sources import derived
+
+    root = "/root/testdata/sf0.001"
+    lines = derived.certificate_lines(spark, root)
+    assert "Broadcast" not in plan_of(lines)
+    # by number: such a shuffle keeps its partitions however small the orders are
+    assert "REPARTITION_BY_NUM" in plan_of(derived.certificate_orders(spark, root))
+    assert "REPARTITION_BY_NUM" in plan_of(visual_rows(derived.lines_to_words(lines)))
+    some = spark.createDataFrame([("f", 1, 2, "TWO"), ("f", 1, 1, "ONE"), ("f", 2, 1, None), ("f", 3, 1, "THREE"), ("g", 1, 1, None)], "file string, page int, line_id int, text string")
+    got = {r["file"]: r["hits"] for r in keyword_hits(some, ["ONE TWO", "TWO THREE", "TWO  THREE"], ["file"]).collect()}
+    assert got == {"f": 2, "g": 0}
