@@ -143,3 +143,17 @@ def test_printed_pages_are_dealt_over_tasks_and_nothing_by_customer_is_broadcast
     some = spark.createDataFrame([("f", 1, 2, "TWO"), ("f", 1, 1, "ONE"), ("f", 2, 1, None), ("f", 3, 1, "THREE"), ("g", 1, 1, None)], "file string, page int, line_id int, text string")
     got = {r["file"]: r["hits"] for r in keyword_hits(some, ["ONE TWO", "TWO THREE", "TWO  THREE"], ["file"]).collect()}
     assert got == {"f": 2, "g": 0}
+
+
+def test_names_that_meet_are_not_sent_through_the_driver(spark):
+    from folioworks.operators import dedup, simjoin
+
+    # guessed at a few bytes, like a file whose names compress well
+    names = spark.range(3).select("id", F.array(F.lit(1).cast("long"), F.col("id") + 5).alias("first"), F.array(F.lit(9).cast("long")).alias("second"), F.lit(1).alias("about"))
+    for crowd in (100, 1):
+        met = simjoin.meeting(names, names, lambda a, b: a == b, crowd=crowd)
+        assert "Broadcast" not in plan_of(met)
+        assert {(r["a"], r["b"]) for r in met.collect()} == {(0, 1), (0, 2), (1, 2)}
+    same = dedup.star_links(spark.range(4).select("id", (F.col("id") % 2).alias("k")), "id", ["k"], "same")
+    assert "Broadcast" not in plan_of(same)
+    assert {(r["a"], r["b"]) for r in same.collect()} == {(0, 2), (1, 3)}
