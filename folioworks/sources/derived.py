@@ -130,8 +130,8 @@ def certificate_lines(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def lines_to_words(lines: DataFrame) -> DataFrame:
-    """Words of positioned lines: every character is equally wide; a word's id is line id x 1000 + place."""
+def lines_to_words(lines: DataFrame, *keep: str) -> DataFrame:
+    """Words of positioned lines: every character is equally wide; a word's id is line id x 1000 + place. `keep` names further columns."""
     parts = F.split("text", " ")
     w = lines.select("*", F.posexplode(parts).alias("i", "w"), parts.alias("_p")).where("w <> ''")
     before = F.when(F.col("i") == 0, 0).otherwise(F.length(F.array_join(F.slice("_p", F.lit(1), F.col("i")), " ")) + 1)
@@ -139,12 +139,21 @@ def lines_to_words(lines: DataFrame) -> DataFrame:
     left = (F.col("x0") + F.floor(before * step)).cast("int")
     return w.select(
         "file", "page", (F.col("line_id") * 1000 + F.col("i")).cast("int").alias("word_id"), "line_id", F.col("w").alias("text"),
-        left.alias("x0"), "y0", (left + F.floor(F.length("w") * step) - 2).cast("int").alias("x1"), "y1", "conf",
+        left.alias("x0"), "y0", (left + F.floor(F.length("w") * step) - 2).cast("int").alias("x1"), "y1", "conf", *keep,
     )
 
 
+_WIDE, _BELOW = 1100, 60
+
+
 def certificate_pages(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("file", "page").agg(F.lit(1100).alias("width"), (F.max("y1") + 60).cast("int").alias("height")).withColumn("role", F.lit("certificate"))
+    return lines.groupBy("file", "page").agg(F.lit(_WIDE).alias("width"), (F.max("y1") + _BELOW).cast("int").alias("height")).withColumn("role", F.lit("certificate"))
+
+
+def with_page_size(lines: DataFrame) -> DataFrame:
+    """Lines with the width and height of their page, as `certificate_pages` has them: printed once, and not joined with themselves."""
+    page = Window.partitionBy("file", "page")
+    return spread_by(lines, "file", "page").withColumns({"width": F.lit(_WIDE), "height": (F.max("y1").over(page) + _BELOW).cast("int")})
 
 
 def document_lines(spark: SparkSession, root: str, per_page: int = 40) -> DataFrame:

@@ -157,3 +157,15 @@ def test_names_that_meet_are_not_sent_through_the_driver(spark):
     same = dedup.star_links(spark.range(4).select("id", (F.col("id") % 2).alias("k")), "id", ["k"], "same")
     assert "Broadcast" not in plan_of(same)
     assert {(r["a"], r["b"]) for r in same.collect()} == {(0, 2), (1, 3)}
+
+
+def test_words_know_their_page_without_a_join(spark):
+    from folioworks.plans.sequences import layout_jitter
+    from folioworks.sources import derived
+
+    root = "/root/testdata/sf0.001"
+    lines = derived.certificate_lines(spark, root)
+    assert plan_of(layout_jitter(spark, root)).count("Join") == plan_of(lines).count("Join")
+    got = derived.with_page_size(lines).select("file", "page", "width", "height").distinct()
+    want = derived.certificate_pages(lines).select("file", "page", "width", "height")
+    assert got.count() == want.count() and got.subtract(want).isEmpty()
