@@ -102,15 +102,19 @@ def card_rows(lines: DataFrame) -> DataFrame:
     """Printed rows of a card (row_id from 0): a line joins the first of the last four rows whose tallest line it overlaps.
 
     Bands of lines without a common height with other bands are told apart first, for lines of different bands never share
-    a row; a band is then folded line by line in the JVM, with the last four rows as the state.
+    a row. A band whose lines all overlap and centre closely enough is one row; others are folded line by line in the JVM,
+    with the last four rows as the state.
     """
     cols = lines.columns
-    l = lines.withColumns({"_top": F.least("y0", "y1").cast("double"), "_end": F.greatest("y0", "y1").cast("double"), "_cy": (F.col("y0") + F.col("y1")) / 2})
+    l = spread_by(lines, *PAGE).withColumns({"_top": F.least("y0", "y1").cast("double"), "_end": F.greatest("y0", "y1").cast("double"), "_cy": (F.col("y0") + F.col("y1")) / 2})
     order = Window.partitionBy(*PAGE).orderBy("_top", "_end", "line_id")
     new = F.when(F.col("_top") >= F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
     l = l.withColumn("_new", new).withColumn("_band", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    one = F.struct(F.col("_cy").alias("cy"), "line_id", F.col("y0").cast("double").alias("y0"), F.col("y1").cast("double").alias("y1"), F.struct(*cols).alias("row"))
-    bands = l.groupBy(*PAGE, "_band").agg(F.array_sort(F.collect_list(one)).alias("_l"))
+    one = F.struct(F.col("_cy").alias("cy"), "line_id", F.col("y0").cast("double").alias("y0"), F.col("y1").cast("double").alias("y1"), F.struct(*[c for c in cols if c not in PAGE]).alias("row"))
+    high = (F.col("y1") - F.col("y0")).cast("double")
+    # whichever of its lines stands for the row, every other one fits it
+    alike = (F.min(high) >= 1) & (F.min("y1").cast("double") - F.max("y0").cast("double") >= 0.55 * F.max(high)) & (F.max("_cy") - F.min("_cy") < 0.6 * F.min(high))
+    bands = l.groupBy(*PAGE, "_band").agg(F.array_sort(F.collect_list(one)).alias("_l"), alike.alias("_one"))
 
     def tall(x: Column) -> Column:
         return F.greatest(F.lit(1.0), x["y1"] - x["y0"])
@@ -121,23 +125,26 @@ def card_rows(lines: DataFrame) -> DataFrame:
             apart = F.abs((r["y0"] + r["y1"]) / 2 - x["cy"])
             return (shared >= 0.55 * F.least(tall(r), tall(x))) & (apart < 0.6 * F.greatest(tall(r), tall(x)))
 
-        def grown(r: Column) -> Column:
+        def grown(r: Column, hit: Column) -> Column:
             taller = (r["n"] == hit) & (tall(x) > tall(r))
             return F.struct(F.when(taller, x["y0"]).otherwise(r["y0"]).alias("y0"), F.when(taller, x["y1"]).otherwise(r["y1"]).alias("y1"), r["n"].alias("n"))
 
-        hit = F.get(F.filter(acc["last"], fits), F.lit(0))["n"]
-        opened = F.array(F.struct(x["y0"].alias("y0"), x["y1"].alias("y1"), acc["n"].alias("n")))
-        kept = F.when(F.size(acc["last"]) < 4, acc["last"]).otherwise(F.slice(acc["last"], 2, 3))
-        last = F.when(hit.isNotNull(), F.transform(acc["last"], grown)).otherwise(F.concat(kept, opened))
-        picked = F.concat(acc["rows"], F.array(F.coalesce(hit, acc["n"])))
-        return F.struct(last.alias("last"), (acc["n"] + F.when(hit.isNull(), 1).otherwise(0)).alias("n"), picked.alias("rows"))
+        def put(hit: Column) -> Column:
+            opened = F.array(F.struct(x["y0"].alias("y0"), x["y1"].alias("y1"), acc["n"].alias("n")))
+            kept = F.when(F.size(acc["last"]) < 4, acc["last"]).otherwise(F.slice(acc["last"], 2, 3))
+            last = F.when(hit.isNotNull(), F.transform(acc["last"], lambda r: grown(r, hit))).otherwise(F.concat(kept, opened))
+            picked = F.concat(acc["rows"], F.array(F.coalesce(hit, acc["n"])))
+            return F.struct(last.alias("last"), (acc["n"] + F.when(hit.isNull(), 1).otherwise(0)).alias("n"), picked.alias("rows"))
+
+        # the row that is met is looked for once a line
+        return F.get(F.transform(F.array(F.get(F.filter(acc["last"], fits), F.lit(0))["n"]), put), F.lit(0))
 
     start = F.struct(
         F.array().cast("array<struct<y0:double,y1:double,n:int>>").alias("last"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("rows")
     )
-    folded = F.when(F.size("_l") == 1, F.array(F.lit(0))).otherwise(F.aggregate("_l", start, add, lambda acc: acc["rows"]))
+    folded = F.when((F.size("_l") == 1) | F.col("_one"), F.array_repeat(F.lit(0), F.size("_l"))).otherwise(F.aggregate("_l", start, add, lambda acc: acc["rows"]))
     flat = bands.withColumn("_r", folded).select("*", F.posexplode("_l").alias("_i", "_x"))
-    flat = flat.select("_band", F.get("_r", F.col("_i")).alias("_sub"), "_x.row.*")
+    flat = flat.select(*PAGE, "_band", F.get("_r", F.col("_i")).alias("_sub"), "_x.row.*")
     by_row = Window.partitionBy(*PAGE).orderBy("_band", "_sub")
     return flat.withColumn("row_id", F.dense_rank().over(by_row) - 1).select(*cols, "row_id")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioworks import vocab
@@ -31,29 +31,43 @@ def page_tilt(lines: DataFrame) -> DataFrame:
 
     Every grade or number votes for each slope that would put it on the row of a subject area to its left; the slope
     with most votes wins, the flattest and then the rising one on ties. It must beat level (tilt 0) and there must be
-    three areas and six cells. A vote is an equality join on the page and a short list of slopes a pair, counted by
-    (file, slope): no page is collected.
+    three areas and six cells. A page's areas and cells meet in its row; an area and a cell give a short run of slopes by
+    a division, and only these are tried. Votes are counted by (file, slope), and nothing is shuffled after the pages.
     """
     c = F.col
     l = _measured(lines).withColumn("u", F.upper("text"))
-    area = reduce(lambda a, b: a | b, [c("u").rlike(rf"^\W*{pat}\b") for _, _, pat in vocab.MEMO_AREAS])
+    area = c("u").rlike("|".join(rf"^\W*{pat}\b" for _, _, pat in vocab.MEMO_AREAS))
     cell = F.btrim("u", F.lit(" .:*")).rlike(r"^(A1|A2|B1|B2|C1|C2|D1|D2|D|\d{1,3})\*?$")
-    l = l.withColumn("area", area).withColumn("cell", cell)
-    enough = l.groupBy("file").agg(F.count_if("area").alias("a"), F.count_if("cell").alias("b")).select("file", ((c("a") >= 3) & (c("b") >= 6)).alias("enough"))
-    a = l.where("area").select("file", "page", c("x0").alias("a_x0"), c("x1").alias("a_x1"), c("cy").alias("a_cy"), c("h").alias("a_h"))
-    b = l.where("cell").select("file", "page", "line_id", "x0", "cy", ((c("x0") + c("x1")) / 2).alias("cx"))
-    fits = F.filter(F.sequence(F.lit(-STEPS), F.lit(STEPS)), lambda k: F.abs(c("cy") - (k * 2 / F.lit(1000.0)) * (c("cx") - c("a_x0")) - c("a_cy")) < 0.3 * c("a_h"))
-    votes = b.join(a, ["file", "page"]).where(c("x0") > c("a_x1")).select("file", "page", "line_id", F.explode(fits).alias("step")).distinct()
-    tally = votes.groupBy("file", "step").count()
-    best = tally.groupBy("file").agg(F.max(F.struct("count", -F.abs("step"), "step")).alias("b"), F.coalesce(F.max(F.when(c("step") == 0, c("count"))), F.lit(0)).alias("level"))
-    won = best.join(enough.where("enough"), "file").where(c("b.count") > c("level")).select("file", (c("b.step") * 2 / F.lit(1000.0)).alias("tilt"))
-    return enough.select("file").join(won, "file", "left").select("file", F.coalesce("tilt", F.lit(0.0)).alias("tilt"))
+    l = l.select("file", "page", "line_id", "x0", "x1", "cy", "h", area.alias("area"), cell.alias("cell"))
+    one = F.struct(c("x0"), c("x1"), c("cy"), c("h"))
+    spot = F.struct(c("line_id"), c("x0"), c("cy"), ((c("x0") + c("x1")) / 2).alias("cx"))
+    pages = l.groupBy("file", "page").agg(
+        F.count_if("area").alias("a"), F.count_if("cell").alias("b"), F.collect_list(F.when(c("area"), one)).alias("areas"), F.collect_list(F.when(c("cell"), spot)).alias("cells")
+    )
+    of = Window.partitionBy("file")
+    pages = pages.withColumn("enough", (F.sum("a").over(of) >= 3) & (F.sum("b").over(of) >= 6))
+    met = pages.where("enough").select("file", "page", "areas", F.explode("cells").alias("q")).select("file", "page", "q", F.explode("areas").alias("a")).where(c("q.x0") > c("a.x1"))
+    dx, dy, reach = c("q.cx") - c("a.x0"), c("q.cy") - c("a.cy"), 0.3 * c("a.h")
+    # a slope k in thousandths times 2 is near enough between (dy - reach) and (dy + reach) over dx; one more on either side is left to the exact test
+    ends = [F.when(dx == 0, F.lit(far)).otherwise(pick((dy - reach) / dx, (dy + reach) / dx) * 500.0 + one_more) for far, pick, one_more in ((-STEPS, F.least, -1.0), (STEPS, F.greatest, 1.0))]
+    met = met.withColumns({"low": F.greatest(F.floor(ends[0]), F.lit(-STEPS)).cast("int"), "high": F.least(F.ceil(ends[1]), F.lit(STEPS)).cast("int")}).where("low <= high")
+    tried = met.select("file", "page", c("q.line_id").alias("line_id"), dx.alias("dx"), c("q.cy").alias("cy"), c("a.cy").alias("a_cy"), c("a.h").alias("a_h"), F.explode(F.sequence("low", "high")).alias("step"))
+    fits = F.abs(c("cy") - (c("step") * 2 / F.lit(1000.0)) * c("dx") - c("a_cy")) < 0.3 * c("a_h")
+    # a cell votes once for a slope, however many areas it meets by it: its slopes are bits of one number
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), c("step") + STEPS)
+    cast = tried.where(fits).groupBy("file", "page", "line_id").agg(F.bit_or(bit).alias("bits"))
+    every = F.explode(F.array(*[F.lit(k) for k in range(-STEPS, STEPS + 1)])).alias("step")
+    votes = cast.select("file", "bits", every).where(F.call_function("shiftright", c("bits"), c("step") + STEPS).bitwiseAND(F.lit(1).cast("long")) == 1)
+    tally = votes.groupBy("file", "step").agg(F.count("*").alias("n"))
+    best = tally.groupBy("file").agg(F.max(F.struct("n", -F.abs("step"), "step")).alias("b"), F.coalesce(F.max(F.when(c("step") == 0, c("n"))), F.lit(0)).alias("level"))
+    won = best.where(c("b.n") > c("level")).select("file", (c("b.step") * 2 / F.lit(1000.0)).alias("tilt"))
+    return pages.groupBy("file").agg(F.lit(0).alias("_")).join(won.hint("merge"), "file", "left").select("file", F.coalesce("tilt", F.lit(0.0)).alias("tilt"))
 
 
 def level(lines: DataFrame, tilts: DataFrame) -> DataFrame:
     """Lines moved up or down so that a page printed on a slope reads like a level one."""
     d = F.col("tilt") * ((F.col("x0") + F.col("x1")) / 2)
-    out = lines.join(tilts, "file")
+    out = lines.join(tilts.hint("merge"), "file")
     return out.withColumns({"y0": F.col("y0") - d, "y1": F.col("y1") - d}).select(*lines.columns)
 
 

@@ -43,6 +43,12 @@ def test_card_rows_equal_a_fold_over_the_page(spark):
     assert len(set(got.values())) > 10
 
 
+def test_a_page_is_dealt_once_for_its_rows(spark):
+    df = spark.createDataFrame([("f", 1, 1, "x", 100.0, 300.0, 250.0, 325.0, 0.9)], LINES)
+    plan = layout.card_rows(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_card_rows_of_nothing(spark):
     assert layout.card_rows(spark.createDataFrame([], LINES)).count() == 0
 
@@ -78,6 +84,12 @@ def test_tilt_equals_a_count_of_all_votes(spark):
     assert len(set(got.values())) > 4 and 0.0 in got.values()
 
 
+def test_areas_and_cells_meet_in_their_page_and_not_by_a_join(spark):
+    df = spark.createDataFrame([("f", 1, 1, "MATHEMATICS", 100.0, 300.0, 250.0, 325.0, 0.9)], LINES)
+    plan = memos.page_tilt(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # that of the tilts with the files
+
+
 def test_levelled_pages_read_like_level_ones(spark):
     def page(tilt):
         out = []
