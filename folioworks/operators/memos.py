@@ -135,13 +135,17 @@ def header_fields(rows: DataFrame, today: str) -> DataFrame:
         after = F.btrim(F.regexp_replace("text", f"(?i)^.*?(?:{label})", ""), F.lit(_PUNCTUATION))
         first = F.coalesce(F.get(F.filter("parts", lambda p: p["text"].rlike(f"(?i){label}")), F.lit(0)), F.get("parts", F.lit(0)))  # noqa: B023
         labelled.append(F.when(c("text").rlike(f"(?i){label}"), F.struct(F.lit(key).alias("field"), _read(key, after, today).alias("value"), first.alias("label"))))
-    hits = rows.withColumn("_l", F.explode(F.filter(F.array(*labelled), lambda s: s.isNotNull()))).select("file", *place, "_l.*")
+    # a pattern in the JVM's compiled code leaves few rows to the reading below
+    some = c("text").rlike("(?i)" + "|".join(f"(?:{label})" for label in vocab.MEMO_LABELS.values()))
+    hits = rows.where(some).withColumn("_l", F.explode(F.filter(F.array(*labelled), lambda s: s.isNotNull()))).select("file", *place, "_l.*")
     direct = hits.where("value <> ''").select("file", "field", "row_no", F.lit(0.0).alias("far"), F.lit(0.0).alias("left"), "value", "page", "cy", "h", "conf", "parts")
-    lost = hits.where((c("value") == "") & c("field").isin(list(_NEAR))).select("file", "field", "row_no", "page", "label")
-    lines = rows.select("file", "page", F.explode("parts").alias("p"))
+    lost = hits.where((c("value") == "") & c("field").isin(list(_NEAR))).groupBy("file", "page").agg(F.collect_list(F.struct("field", "row_no", "label")).alias("_lost"))
     reach = reduce(lambda a, kv: F.when(c("field") == kv[0], kv[1]).otherwise(a), _NEAR.items(), F.lit(1.0))
     far = F.abs(c("p.cy") - c("label.cy"))
-    near = lost.join(lines, ["file", "page"]).where((c("p.x0") > c("label.x1") - 5) & (far < reach * c("label.h")))
+    # a page is one row for this: its lines are joined once with the few labels that lost their value
+    pages = rows.select("file", "page", "parts").join(lost.hint("merge"), ["file", "page"])
+    near = pages.select("file", "page", "parts", F.explode("_lost").alias("_q")).select("file", "page", "_q.*", F.explode("parts").alias("p"))
+    near = near.where((c("p.x0") > c("label.x1") - 5) & (far < reach * c("label.h")))
     bare = F.btrim("p.text", F.lit(_PUNCTUATION))
     alone = reduce(lambda a, key: F.when(c("field") == key, _read_alone(key, bare, today)).otherwise(a), _NEAR, F.lit(""))
     near = near.select("file", "field", "row_no", far.alias("far"), c("p.x0").cast("double").alias("left"), alone.alias("value"), "page", c("p.cy").alias("cy"), c("p.h").alias("h"), c("p.conf").alias("conf"), F.array("p").alias("parts")).where("value <> ''")
@@ -158,7 +162,8 @@ def header_fields(rows: DataFrame, today: str) -> DataFrame:
         F.struct(F.lit("appearance").alias("field"), F.regexp_extract(u, r"\b(REGULAR|PRIVATE)\b", 1).alias("value")),
         F.struct(F.lit("compartmental").alias("field"), F.regexp_extract(u, "(COMPARTMENTAL)", 1).alias("value")),
     )
-    loose = rows.withColumn("_o", F.explode(F.filter(others, lambda s: s["value"] != ""))).select(
+    said = u.rlike(r"\b[SD]\s*/\s*O\s|HELD\s*IN|\b(?:AND|WITH)\s|REGULAR|PRIVATE|COMPARTMENTAL")
+    loose = rows.where(said).withColumn("_o", F.explode(F.filter(others, lambda s: s["value"] != ""))).select(
         "file", "_o.field", "row_no", F.lit(0.0).alias("far"), F.lit(0.0).alias("left"), "_o.value", "page", "cy", "h", "conf", "parts", F.lit(1).alias("weaker")
     )
     order = F.struct("weaker", "row_no", "far", "left")

@@ -90,6 +90,15 @@ def test_areas_and_cells_meet_in_their_page_and_not_by_a_join(spark):
     assert plan.count("Join ") == 1  # that of the tilts with the files
 
 
+def test_rows_without_a_label_say_nothing_and_a_date_below_its_label_is_read(spark):
+    df = spark.createDataFrame([("f", 1, 1, "MATHEMATICS", 100.0, 300.0, 250.0, 325.0, 0.9)], LINES)
+    rows = memos.memo_rows(df).localCheckpoint()
+    assert memos.header_fields(rows, "2026-01-01").count() == 0
+    some = [("f", 1, 1, "DATE OF BIRTH", 100.0, 300.0, 230.0, 325.0, 0.9), ("f", 1, 2, ": 03/02/1990", 300.0, 335.0, 420.0, 360.0, 0.8)]
+    got = memos.header_fields(memos.memo_rows(spark.createDataFrame(some, LINES)), "2026-01-01").collect()
+    assert [(r.field, r.value, r.confidence) for r in got] == [("date_of_birth", "1990-02-03", 0.8)]
+
+
 def test_levelled_pages_read_like_level_ones(spark):
     def page(tilt):
         out = []
