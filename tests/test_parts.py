@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from folioworks.plans import alignment
+from folioworks.plans import alignment, documents
 from folioworks.session import cut_lineage, in_parts, of_part
 from folioworks.sources import derived
 
@@ -39,7 +39,7 @@ def test_parts_of_the_certificates_are_all_of_them(spark):
 
 
 #: Queries that read every printed page, and the module that makes a part of them.
-IN_PARTS = {"align_truth": alignment, "align_subject_rows": alignment, "annotation_review_queue": alignment}
+IN_PARTS = {"align_truth": alignment, "align_subject_rows": alignment, "annotation_review_queue": alignment, "table_rows": documents}
 
 
 @pytest.mark.parametrize("name", IN_PARTS)
