@@ -39,7 +39,7 @@ def test_parts_of_the_certificates_are_all_of_them(spark):
 
 
 #: Queries that read every printed page, and the module that makes a part of them.
-IN_PARTS = {"align_truth": alignment, "align_subject_rows": alignment, "annotation_review_queue": alignment, "table_rows": documents, "extract_certificates": documents}
+IN_PARTS = {"align_truth": alignment, "align_subject_rows": alignment, "annotation_review_queue": alignment, "table_rows": documents, "extract_certificates": documents, "certificate_classes": documents, "certificate_page_roles": documents}
 
 
 @pytest.mark.parametrize("name", IN_PARTS)
@@ -53,8 +53,18 @@ def test_pages_are_read_a_part_at_a_time(spark, monkeypatch, name):
         asked.append(n)
         raise Done
 
-    monkeypatch.setattr(derived, "PART_ORDERS", 700)
+    # classes leave less on disk, and are read eight times as many at once
+    monkeypatch.setattr(derived, "PART_ORDERS", 90 if name.startswith("certificate_") else 700)
     monkeypatch.setattr(IN_PARTS[name], "in_parts", instead)
     with pytest.raises(Done):
         contract.queries()[name](spark, ROOT)
     assert asked == [3]
+
+
+def test_the_key_of_two_lines_is_both_keys(spark):
+    from folioworks.functions.text import spaced_key
+
+    odd = ["", " ", "ß", "straße 5", "a.b", "-x-", "  two  words ", "é日", "İstanbul", "line end", "A"]
+    d = spark.createDataFrame([(a, b) for a in odd for b in odd], "a string, b string")
+    whole, both = spaced_key(F.concat_ws(" ", "a", "b")), F.trim(F.concat_ws(" ", spaced_key(F.col("a")), spaced_key(F.col("b"))))
+    assert d.where(whole != both).isEmpty()
