@@ -39,7 +39,7 @@ def test_parts_of_the_certificates_are_all_of_them(spark):
 
 
 #: Queries that read every printed page, and the module that makes a part of them.
-IN_PARTS = {"align_truth": alignment, "align_subject_rows": alignment, "annotation_review_queue": alignment, "review_queue_summary": alignment, "table_rows": documents, "extract_certificates": documents, "certificate_classes": documents, "certificate_page_roles": documents}
+IN_PARTS = {"align_truth": alignment, "align_subject_rows": alignment, "annotation_review_queue": alignment, "truth_suggestions": alignment, "review_queue_summary": alignment, "table_rows": documents, "extract_certificates": documents, "certificate_classes": documents, "certificate_page_roles": documents}
 
 
 @pytest.mark.parametrize("name", IN_PARTS)
